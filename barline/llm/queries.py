@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import importlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,6 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 from barline.llm.common import ship, table
 
 
+def _op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from barline.llm.substring_dedup import op1_suffix_dedup
+
+    ship(spark)
+    return op1_suffix_dedup(table(spark, sf_dir, "documents"))
+
+
 def _op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     from barline.llm.decontaminate import op2_decontaminate
 
@@ -29,6 +35,13 @@ def _op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op4_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def _op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from barline.llm.window_dedup import op5_window_dedup
+
+    ship(spark)
+    return op5_window_dedup(table(spark, sf_dir, "documents"))
+
+
 def _op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     from barline.llm.mixing import op6_mixing
 
@@ -42,13 +55,23 @@ def _op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op8_langid(table(spark, sf_dir, "documents"))
 
 
+def _op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from barline.llm.minhash import op9_minhash
+
+    ship(spark)
+    return op9_minhash(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_suffix_dedup": _op1,
         "op2_decontaminate": _op2,
         "op3_pii": _op3,
         "op4_toxicity": _op4,
+        "op5_window_dedup": _op5,
         "op6_mixing": _op6,
         "op8_langid": _op8,
+        "op9_minhash": _op9,
     }
 
 

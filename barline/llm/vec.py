@@ -146,3 +146,54 @@ def segment_words(sep_starts: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """For words sorted by start and texts given by offsets: index of the first word of each text,
     and the number of words at the end."""
     return np.searchsorted(sep_starts, offsets)
+
+
+def spaced(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The texts with a blank before each, so that no word spans two texts; their new offsets."""
+    n = len(offsets) - 1
+    out = np.full(len(buf) + n, 0x20, dtype=np.uint8)
+    out[np.arange(len(buf)) + np.repeat(np.arange(1, n + 1), np.diff(offsets))] = buf
+    return out, offsets + np.arange(n + 1)
+
+
+def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
+    """Minimum of every ``width`` consecutive values, in two passes over blocks."""
+    n = len(x) - width + 1
+    if n <= 0:
+        return x[:0]
+    rows = -(-len(x) // width)
+    pad = np.full(rows * width, np.iinfo(x.dtype).max, dtype=x.dtype)
+    pad[: len(x)] = x
+    block = pad.reshape(rows, width)
+    before = np.minimum.accumulate(block, axis=1).ravel()
+    after = np.minimum.accumulate(block[:, ::-1], axis=1)[:, ::-1].ravel()
+    return np.minimum(after[:n], before[width - 1 : width - 1 + n])
+
+
+def pack(*columns: np.ndarray) -> bytes:
+    """64-bit columns of equal length as compressed bytes."""
+    import pyarrow as pa
+
+    data = np.stack([np.asarray(c).view(U64) for c in columns])
+    return len(columns).to_bytes(1, "little") + data.shape[1].to_bytes(4, "little") + pa.compress(data.tobytes(), codec="zstd", asbytes=True)
+
+
+def unpack(blob: bytes) -> np.ndarray:
+    """Columns (rows of the array) of what ``pack`` made."""
+    import pyarrow as pa
+
+    k, n = blob[0], int.from_bytes(blob[1:5], "little")
+    raw = pa.decompress(blob[5:], decompressed_size=8 * k * n, codec="zstd", asbytes=True)
+    return np.frombuffer(raw, dtype=U64).reshape(k, n)
+
+
+def bounds_of(*keys: np.ndarray) -> np.ndarray:
+    """Starts of the groups of equal keys in sorted columns, and the length at the end."""
+    n = len(keys[0])
+    if n == 0:
+        return np.zeros(1, dtype=np.int64)
+    new = np.zeros(n, dtype=bool)
+    new[0] = True
+    for k in keys:
+        new[1:] |= k[1:] != k[:-1]
+    return np.append(np.flatnonzero(new), n)

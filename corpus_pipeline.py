@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barline.llm import decontaminate, langid, mixing, pii
+from barline.llm import decontaminate, langid, minhash, mixing, pii
 from barline.llm.common import materialise, ship, table
 
 
@@ -17,6 +17,12 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return langid.identify(docs, model, keep=docs.columns).where("lang_pred <> 'und'").select(*docs.columns)
 
 
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates stays: 5-word shingles, similarity 0.8."""
+    ship(spark)
+    return minhash.keep_one(docs, size=5)
+
+
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a window of a benchmark item go."""
     return decontaminate.remove_contaminated(docs, table(spark, sf_dir, "benchmark"))
@@ -34,6 +40,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [
     ("language", language),
+    ("near_duplicates", near_duplicates),
     ("decontamination", decontamination),
     ("privacy", privacy),
     ("mixture", mixture),
