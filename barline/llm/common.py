@@ -67,13 +67,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the Python workers once per application, as ``--py-files`` would."""
+    """Send this package to the Python workers once per application, as ``--py-files`` would, and
+    bound the texts that a worker holds at once."""
     import io
     import zipfile
     from pathlib import Path
 
     import barline
 
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
     sc = spark.sparkContext
     if getattr(sc, "_barline_shipped", False):
         return

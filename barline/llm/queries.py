@@ -48,6 +48,13 @@ def _op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op6_mixing(table(spark, sf_dir, "documents"))
 
 
+def _op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from barline.llm.cap_filters import op7_caps
+
+    ship(spark)
+    return op7_caps(table(spark, sf_dir, "embeddings"))
+
+
 def _op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     from barline.llm.langid import op8_langid
 
@@ -62,6 +69,13 @@ def _op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op9_minhash(table(spark, sf_dir, "documents"))
 
 
+def _op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from barline.llm.lm_score import op10_lm_score
+
+    ship(spark)
+    return op10_lm_score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_suffix_dedup": _op1,
@@ -70,8 +84,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_toxicity": _op4,
         "op5_window_dedup": _op5,
         "op6_mixing": _op6,
+        "op7_caps": _op7,
         "op8_langid": _op8,
         "op9_minhash": _op9,
+        "op10_lm_score": _op10,
     }
 
 

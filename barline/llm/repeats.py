@@ -31,7 +31,7 @@ from barline.llm import vec
 from barline.llm.common import materialise, partitions, row_key
 
 U64 = np.uint64
-PIECE = (1 << 20) - 1
+PIECE = (1 << 18) - 1
 SETTLED, UNSURE, TEXT, ANCHOR, LEVEL = 0, 1, 2, 3, 4
 BLOCKS = "kind int, part int, n long, block binary"
 
@@ -78,7 +78,7 @@ class Alphabet:
             sym = symbols[lo:hi]
             one = vec.Rolling(self.codes(sym, 1), 1)
             grams = one.windows(self.gram)
-            mask = U64((1 << 20) - 1)
+            mask = U64(PIECE)
             place = mask - np.arange(len(grams), dtype=U64)
             low = vec.sliding_min((grams & ~mask) | place, self.window - self.gram + 1)
             inner = np.clip(offsets[a : b + 1] - lo, 0, n)

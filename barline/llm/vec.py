@@ -12,7 +12,7 @@ from functools import lru_cache
 import numpy as np
 
 U64 = np.uint64
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
