@@ -6,9 +6,12 @@ a set at once and stop as soon as every slot is filled below the next step.  Wit
 in each of 24 bands a pair at similarity 0.8 stays unseen with probability (1 - 0.8**4)**24,
 about 3e-6.
 
-Documents with equal sets are one class.  In a bucket every class is compared with the least
-one; classes of a bucket that are still in different components afterwards are compared with
-each other, so that no link between candidates is lost.  Links are confirmed on the full sets.
+Documents with equal sets are one class.  In a bucket every class is compared with a pivot, the
+class with most company over all its buckets.  Classes that the pivot does not link may still
+link to others of its group: with D the symmetric difference of a set and the pivot's, the
+difference of two sets is that of their Ds, so an unlinked class must share with any partner
+more than half of the partner's D (see ``stragglers``).  A prefix join on the Ds in rarity order
+finds all such pairs without listing the pairs of a group.  Every link is confirmed on full sets.
 """
 
 from __future__ import annotations
@@ -110,13 +113,14 @@ def sketch(docs: DataFrame, *, bands: int = 24, rows: int = 4, size: int = 2) ->
 
 
 def verify(pairs: DataFrame, texts: DataFrame, *, percent: int, size: int, group: int = 256) -> DataFrame:
-    """Those of ``pairs`` (a, b), row keys, whose sets meet the threshold.
+    """Each of ``pairs`` (a, b), row keys: linked, n_a, n_b and diff, the hashes in one set only (where
+    b has several partners).
 
     Pairs of one b are cut into groups of about ``group``; the texts travel to the groups.
     """
     n = partitions(pairs.sparkSession)
-    sizes = pairs.groupBy("b").agg(F.ceil(F.count("*") / group).alias("cuts"))
-    cut = pairs.join(sizes, "b").select("a", "b", F.pmod(F.xxhash64("a"), "cuts").alias("cut"))
+    sizes = pairs.groupBy("b").agg(F.ceil(F.count("*") / group).alias("cuts"), (F.count("*") > 1).cast("long").alias("many"))
+    cut = pairs.join(sizes, "b").select("a", "b", (F.pmod(F.xxhash64("a"), "cuts") * 2 + F.col("many")).alias("cut"))
     asks = cut.select(F.col("a").alias("rk"), "b", "cut").unionByName(cut.select(F.col("b").alias("rk"), "b", "cut").distinct())
 
     def pack_asks(batches):
@@ -160,25 +164,72 @@ def verify(pairs: DataFrame, texts: DataFrame, *, percent: int, size: int, group
                             groups.setdefault((int(b[i]), int(c[i])), set()).add(int(rk[i]))
                             if int(rk[i]) not in sets:
                                 sets[int(rk[i])] = found[bounds[i] : bounds[i + 1]].copy()
-        out = []
-        for (b, _), members in groups.items():
+        out: list[tuple] = []
+        for (b, c), members in groups.items():
             base = sets[b]
             for a in members:
                 if a == b:
                     continue
                 other = sets[a]
-                if 100 * min(len(base), len(other)) < percent * max(len(base), len(other)):
-                    continue
-                both = len(np.intersect1d(base, other, assume_unique=True))
-                if 100 * both >= percent * (len(base) + len(other) - both):
-                    out.append((a, b))
+                if c & 1:
+                    diff = np.setxor1d(base, other, assume_unique=True)
+                    both = (len(base) + len(other) - len(diff)) // 2
+                else:
+                    diff, both = None, len(np.intersect1d(base, other, assume_unique=True))
+                linked = 100 * both >= percent * (len(base) + len(other) - both)
+                out.append((a, b, linked, len(other), len(base), None if diff is None else diff.view(np.int64)))
+                if len(out) >= 4096:
+                    yield result(out)
+                    out = []
         if out:
-            a, b = (np.array(c, dtype=U64).view(np.int64) for c in zip(*out))
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+            yield result(out)
+
+    def result(out: list[tuple]) -> pa.RecordBatch:
+        a, b, linked, n_a, n_b, diff = zip(*out)
+        keys = [pa.array(np.array(k, dtype=U64).view(np.int64)) for k in (a, b)]
+        rest = [pa.array(linked, pa.bool_()), pa.array(n_a, pa.int64()), pa.array(n_b, pa.int64()), pa.array(diff, pa.list_(pa.int64()))]
+        return pa.RecordBatch.from_arrays([*keys, *rest], names=["a", "b", "linked", "n_a", "n_b", "diff"])
 
     asked = asks.select("rk", "b", F.col("cut").cast("long").alias("cut")).mapInArrow(pack_asks, BLOCKS)
     sent = _with_texts(asked, texts, n).mapInArrow(send, BLOCKS)
-    return sent.repartitionById(n, F.col("part")).mapInArrow(compare, "a long, b long")
+    return sent.repartitionById(n, F.col("part")).mapInArrow(compare, "a long, b long, linked boolean, n_a long, n_b long, diff array<long>")
+
+
+def stragglers(checked: DataFrame, *, percent: int) -> DataFrame:
+    """Links (a, b) between the partners of a pivot when one at least is not linked to the pivot.
+
+    Sets link if their symmetric difference has at most k * (n_a + n_b) elements, k = (1 - t) / (1 + t).
+    With d = |D| and n_p the pivot's size, an unlinked i has d_i > k * (n_i + n_p); a partner j then
+    needs |D_i & D_j| >= (d_i + d_j - k * (n_i + n_j)) / 2 > (d_j + k * (n_p - n_j)) / 2 > 0.  So they
+    share an element among the first d - overlap + 1 of each D, in the order of rarity in the group.
+    """
+    k = (100.0 - percent) / (100.0 + percent)
+    some = checked.where("diff is not null").select("b", "a", "linked", "n_a", "n_b", "diff", F.size("diff").alias("d"))
+    open_ = some.where("not linked").select("b").distinct()
+    some = materialise(some.join(open_, "b", "left_semi"), "minhash-diffs")
+    least = F.when(F.col("linked"), (F.col("d") + k * (F.col("n_b") - F.col("n_a"))) / 2).otherwise((F.col("d") - k * F.col("n_a") * (1 + 100.0 / percent)) / 2)
+    # a hair of slack for the rounding of the bounds
+    prefix = F.greatest(F.least(F.floor(F.col("d") - least + 1e-6) + 1, F.col("d")), F.lit(1))
+    parts = some.select("b", "a", "linked", prefix.alias("p"), F.explode("diff").alias("x"))
+    rare = parts.groupBy("b", "x").agg(F.count("*").alias("n"))
+    alive = rare.where("n > 1")
+    # elements of one holder stand first in the order and join with nothing: only their number counts
+    held = parts.join(alive, ["b", "x"])
+    own = parts.groupBy("b", "a").agg(F.count("*").alias("d"), F.first("p").alias("p"), F.first("linked").alias("linked"))
+    lone = own.join(held.groupBy("b", "a").agg(F.count("*").alias("shared")), ["b", "a"]).select("b", "a", (F.col("d") - F.col("shared")).alias("lone"))
+    ranked = held.join(lone, ["b", "a"]).withColumn("rank", F.row_number().over(Window.partitionBy("b", "a").orderBy("n", "x")) + F.col("lone"))
+    kept = materialise(ranked.where("rank <= p").select("b", "x", "a", "linked"), "minhash-prefixes")
+    left = kept.where("not linked").select("b", "x", F.col("a").alias("i"))
+    near = left.join(kept.select("b", "x", F.col("a").alias("j"), "linked"), ["b", "x"]).where("i <> j and (linked or i < j)").select("b", "i", "j").distinct()
+    one = some.select("b", F.col("a").alias("i"), F.col("n_a").alias("n_i"), F.col("d").alias("d_i"), F.col("diff").alias("diff_i"))
+    two = some.select("b", F.col("a").alias("j"), F.col("n_a").alias("n_j"), F.col("d").alias("d_j"), F.col("diff").alias("diff_j"))
+    near = near.join(one.drop("diff_i"), ["b", "i"]).join(two.drop("diff_j"), ["b", "j"])
+    need = (F.col("d_i") + F.col("d_j") - k * (F.col("n_i") + F.col("n_j"))) / 2
+    near = near.where(need <= F.least("d_i", "d_j") + 1e-6).select("b", "i", "j")
+    near = near.join(one, ["b", "i"]).join(two, ["b", "j"])
+    gap = F.col("d_i") + F.col("d_j") - 2 * F.size(F.array_intersect("diff_i", "diff_j"))
+    both = (F.col("n_i") + F.col("n_j") - gap) / 2
+    return near.where(100 * both >= percent * (F.col("n_i") + F.col("n_j") - both)).select(F.col("i").alias("a"), F.col("j").alias("b")).distinct()
 
 
 def groups(docs: DataFrame, *, key: str = "doc_id", text: str = "text", percent: int = 80, size: int = 2, bands: int = 24, rows: int = 4) -> DataFrame:
@@ -194,29 +245,16 @@ def groups(docs: DataFrame, *, key: str = "doc_id", text: str = "text", percent:
     classes = named.groupBy("set").agg(F.min(F.struct("__rk", "bands")).alias("m"), F.min("doc").alias("least"))
     classes = materialise(classes.select("set", F.col("m.__rk").alias("rep"), F.col("m.bands").alias("bands"), "least"), "minhash-classes")
     slots = classes.select("rep", F.explode("bands").alias("slot"))
-    full = slots.groupBy("slot").agg(F.min("rep").alias("pivot"), F.count("*").alias("n")).where("n > 1")
-    rest = materialise(slots.join(full.select("slot", "pivot"), "slot").where("rep <> pivot"), "minhash-buckets")
+    full = slots.groupBy("slot").agg(F.count("*").alias("n")).where("n > 1")
+    live = materialise(slots.join(full, "slot"), "minhash-buckets")
+    company = live.groupBy("rep").agg(F.sum("n").alias("company"))
+    known = live.select("slot", "rep").join(company, "rep")
+    pivots = known.groupBy("slot").agg(F.max(F.struct("company", "rep")).alias("top"))
+    star = live.select("slot", "rep").join(pivots, "slot").select(F.col("rep").alias("a"), F.col("top.rep").alias("b")).where("a <> b").distinct()
     texts = text_blocks(src, partitions(docs.sparkSession), [])
-    star = rest.select(F.col("rep").alias("a"), F.col("pivot").alias("b")).distinct()
-    links = materialise(verify(star, texts, percent=percent, size=size), "minhash-links")
+    checked = materialise(verify(star, texts, percent=percent, size=size), "minhash-checked")
+    links = checked.where("linked").select("a", "b").unionByName(stragglers(checked, percent=percent))
     member = connected_components(links)
-    # Classes of one bucket that are in different components, apart from the pivot that has met all.
-    placed = rest.join(member.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
-    mixed = placed.groupBy("slot").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("slot")
-    open_ = materialise(placed.join(mixed, "slot").select("slot", "rep", "root"), "minhash-open")
-    other = open_.select("slot", F.col("rep").alias("rep2"), F.col("root").alias("root2"))
-    more = open_.join(other, "slot").where("root < root2").select(F.col("rep").alias("a"), F.col("rep2").alias("b")).distinct()
-    more = materialise(more, "minhash-more")
-    if not more.isEmpty():
-        second = materialise(verify(more, texts, percent=percent, size=size), "minhash-links")
-        if not second.isEmpty():
-            roots = member.select(F.col("node"), "root")
-            ends = second
-            for side in ("a", "b"):
-                ends = ends.join(roots.select(F.col("node").alias(side), F.col("root").alias(f"{side}_root")), side, "left")
-            joined = connected_components(ends.select(F.coalesce("a_root", "a").alias("a"), F.coalesce("b_root", "b").alias("b")))
-            all_nodes = member.unionByName(second.select(F.col("a").alias("node"), F.col("a").alias("root"))).unionByName(second.select(F.col("b").alias("node"), F.col("b").alias("root"))).groupBy("node").agg(F.min("root").alias("root"))
-            member = all_nodes.join(joined.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left").select("node", F.coalesce("top", "root").alias("root"))
     placed = classes.select("set", "rep", "least").join(member.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
     name = placed.groupBy("root").agg(F.min("least").alias("component"))
     named_set = materialise(placed.select("set", "root").join(name, "root").select("set", "component"), "minhash-names")
