@@ -114,6 +114,10 @@ def find(docs: DataFrame, *, text: str = "text", key: str = "doc_id", min_suppor
     pairs = pairs.select("__rk", "entity", "t.term", "t.start", "t.end")
     # Distinct documents of a pair; counting repeated rows once.
     support = pairs.select("__rk", "entity", "term").distinct().groupBy("entity", "term").agg(F.count("*").alias("together")).where(F.col("together") >= min_support)
+    # A term's documents number at least those that hold it near any entity: terms that this bound
+    # already puts below the threshold need no count over the corpus.
+    near_any = pairs.select("__rk", "term").distinct().groupBy("term").agg(F.count("*").alias("least"))
+    support = support.join(near_any, "term").where(F.col("together") >= generalise_at * F.col("least")).drop("least")
     support = materialise(support, "pii-support")
     df = term_documents(docs, support.select("term").distinct(), text)
     n_docs = base.count()
