@@ -98,7 +98,8 @@ class Alphabet:
             cover = vec.mix64(cover ^ vec.mix64(shape + U64(99)))
             text = a + np.searchsorted(inner, start, side="right") - 1
             # empty texts share their offset with the next; searchsorted on the right skips them
-            out.append((text, start + lo - offsets[text], stop - start, grams[anchor], cover))
+            # the least hashes crowd at the low end; mixed again they spread over the partitions
+            out.append((text, start + lo - offsets[text], stop - start, vec.mix64(grams[anchor] ^ U64(PIECE)), cover))
         if not out:
             z = np.zeros(0, np.int64)
             return z, z, z, z.astype(U64), z.astype(U64)
