@@ -6,6 +6,7 @@ Floats are rounded to six places on both sides; dates are written as text.
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 from datetime import date, datetime
 
 from pyspark.sql import DataFrame, SparkSession
@@ -517,7 +518,9 @@ FAST = Research(horizon=5, embargo=5, train_end=TRAIN_END, test_start=TEST_START
 
 @query("run_baseline")
 def run_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pipelines.run_baseline(priority_bars(spark, sf_dir), FAST).metrics
+    bars = priority_bars(spark, sf_dir)
+    start = pipelines.settle_start(FAST, FAST.horizon, bars, lab.forward_returns(bars, FAST.horizon))
+    return pipelines.run_baseline(bars, replace(FAST, test_start=start)).metrics
 
 
 @query("overfitting_gate")
