@@ -8,10 +8,8 @@ about 3e-6.
 
 Documents with equal sets are one class.  In a bucket every class is compared with a pivot, the
 class with most company over all its buckets.  Classes that the pivot does not link may still
-link to others of its group: with D the symmetric difference of a set and the pivot's, the
-difference of two sets is that of their Ds, so an unlinked class must share with any partner
-more than half of the partner's D (see ``stragglers``).  A prefix join on the Ds in rarity order
-finds all such pairs without listing the pairs of a group.  Every link is confirmed on full sets.
+link to others of its group: these few are compared with all members, in blocks (see
+``stragglers``).  Every link is confirmed on full sets.
 """
 
 from __future__ import annotations
@@ -195,41 +193,71 @@ def verify(pairs: DataFrame, texts: DataFrame, *, percent: int, size: int, group
     return sent.repartitionById(n, F.col("part")).mapInArrow(compare, "a long, b long, linked boolean, n_a long, n_b long, diff array<long>")
 
 
-def stragglers(checked: DataFrame, *, percent: int) -> DataFrame:
+def stragglers(checked: DataFrame, *, percent: int, block: int = 512) -> DataFrame:
     """Links (a, b) between the partners of a pivot when one at least is not linked to the pivot.
 
-    Sets link if their symmetric difference has at most k * (n_a + n_b) elements, k = (1 - t) / (1 + t).
-    With d = |D| and n_p the pivot's size, an unlinked i has d_i > k * (n_i + n_p); a partner j then
-    needs |D_i & D_j| >= (d_i + d_j - k * (n_i + n_j)) / 2 > (d_j + k * (n_p - n_j)) / 2 > 0.  So they
-    share an element among the first d - overlap + 1 of each D, in the order of rarity in the group.
+    The difference of two sets is that of their differences to the pivot, so no text is read again.
+    The unlinked members of a group are the queries, all members the rows; both are cut into blocks, and a block of queries
+    meets a block of rows in one group of at most about 2 * ``block`` rows, which returns links only.
     """
-    k = (100.0 - percent) / (100.0 + percent)
-    some = checked.where("diff is not null").select("b", "a", "linked", "n_a", "n_b", "diff", F.size("diff").alias("d"))
-    open_ = some.where("not linked").select("b").distinct()
-    some = materialise(some.join(open_, "b", "left_semi"), "minhash-diffs")
-    least = F.when(F.col("linked"), (F.col("d") + k * (F.col("n_b") - F.col("n_a"))) / 2).otherwise((F.col("d") - k * F.col("n_a") * (1 + 100.0 / percent)) / 2)
-    # a hair of slack for the rounding of the bounds
-    prefix = F.greatest(F.least(F.floor(F.col("d") - least + 1e-6) + 1, F.col("d")), F.lit(1))
-    parts = some.select("b", "a", "linked", prefix.alias("p"), F.explode("diff").alias("x"))
-    rare = parts.groupBy("b", "x").agg(F.count("*").alias("n"))
-    alive = rare.where("n > 1")
-    # elements of one holder stand first in the order and join with nothing: only their number counts
-    held = parts.join(alive, ["b", "x"])
-    own = parts.groupBy("b", "a").agg(F.count("*").alias("d"), F.first("p").alias("p"), F.first("linked").alias("linked"))
-    lone = own.join(held.groupBy("b", "a").agg(F.count("*").alias("shared")), ["b", "a"]).select("b", "a", (F.col("d") - F.col("shared")).alias("lone"))
-    ranked = held.join(lone, ["b", "a"]).withColumn("rank", F.row_number().over(Window.partitionBy("b", "a").orderBy("n", "x")) + F.col("lone"))
-    kept = materialise(ranked.where("rank <= p").select("b", "x", "a", "linked"), "minhash-prefixes")
-    left = kept.where("not linked").select("b", "x", F.col("a").alias("i"))
-    near = left.join(kept.select("b", "x", F.col("a").alias("j"), "linked"), ["b", "x"]).where("i <> j and (linked or i < j)").select("b", "i", "j").distinct()
-    one = some.select("b", F.col("a").alias("i"), F.col("n_a").alias("n_i"), F.col("d").alias("d_i"), F.col("diff").alias("diff_i"))
-    two = some.select("b", F.col("a").alias("j"), F.col("n_a").alias("n_j"), F.col("d").alias("d_j"), F.col("diff").alias("diff_j"))
-    near = near.join(one.drop("diff_i"), ["b", "i"]).join(two.drop("diff_j"), ["b", "j"])
-    need = (F.col("d_i") + F.col("d_j") - k * (F.col("n_i") + F.col("n_j"))) / 2
-    near = near.where(need <= F.least("d_i", "d_j") + 1e-6).select("b", "i", "j")
-    near = near.join(one, ["b", "i"]).join(two, ["b", "j"])
-    gap = F.col("d_i") + F.col("d_j") - 2 * F.size(F.array_intersect("diff_i", "diff_j"))
-    both = (F.col("n_i") + F.col("n_j") - gap) / 2
-    return near.where(100 * both >= percent * (F.col("n_i") + F.col("n_j") - both)).select(F.col("i").alias("a"), F.col("j").alias("b")).distinct()
+    some = checked.where("diff is not null").select("b", "a", "linked", F.col("n_a").alias("n"), "diff")
+    sizes = some.groupBy("b").agg(F.ceil(F.count("*") / block).alias("rows"), F.ceil(F.count_if(~F.col("linked")) / block).alias("asks")).where("asks > 0")
+    some = materialise(some.join(sizes, "b"), "minhash-diffs")
+    own = F.xxhash64("a", F.lit(3))
+    asks = some.where("not linked").withColumns({"i": F.pmod(own, "asks"), "j": F.explode(F.sequence(F.lit(0).cast("long"), F.col("rows") - 1))})
+    rows = some.withColumns({"j": F.pmod(own, "rows"), "i": F.explode(F.sequence(F.lit(0).cast("long"), F.col("asks") - 1))})
+    both = asks.withColumn("ask", F.lit(True)).unionByName(rows.withColumn("ask", F.lit(False)))
+    both = both.select(F.xxhash64("b", "i", "j").alias("g"), "ask", "a", "n", "diff")
+
+    def meet(parts: list[pa.RecordBatch]):
+        table = pa.Table.from_batches(parts)
+        ask, a, n = (table.column(c).to_numpy() for c in ("ask", "a", "n"))
+        if not ask.any() or ask.all():
+            return
+        diff = table.column("diff").combine_chunks()
+        size = np.diff(diff.offsets.to_numpy())
+        row = np.repeat(np.arange(len(a)), size)
+        _, place, times = np.unique(diff.flatten().to_numpy(), return_inverse=True, return_counts=True)
+        shared = times > 1
+        new = np.cumsum(shared) - 1
+        row, place = row[shared[place]], new[place[shared[place]]]
+        index = np.cumsum(ask) - 1, np.cumsum(~ask) - 1
+        overlap = np.zeros((int(ask.sum()), int((~ask).sum())), dtype=np.float32)
+        for at in range(0, int(shared.sum()), 8192):
+            now = (place >= at) & (place < at + 8192)
+            sides = []
+            for mine, idx in zip((ask, ~ask), index):
+                own = now & mine[row]
+                m = np.zeros((int(mine.sum()), 8192), dtype=np.float32)
+                m[idx[row[own]], place[own] - at] = 1
+                sides.append(m)
+            overlap += sides[0] @ sides[1].T
+        total = n[ask][:, None] + n[~ask][None, :]
+        gap = size[ask][:, None] + size[~ask][None, :] - 2 * overlap.astype(np.int64)
+        inner = (total - gap) // 2
+        i, j = np.nonzero((100 * inner >= percent * (total - inner)) & (a[ask][:, None] != a[~ask][None, :]))
+        if len(i):
+            yield pa.RecordBatch.from_arrays([pa.array(a[ask][i]), pa.array(a[~ask][j])], names=["a", "b"])
+
+    def run(batches):
+        held: list[pa.RecordBatch] = []
+        group = None
+        for batch in batches:
+            g = batch.column(0).to_numpy(zero_copy_only=False)
+            edge = np.flatnonzero(np.diff(g)) + 1
+            for lo, hi in zip(np.concatenate([[0], edge]), np.concatenate([edge, [len(g)]])):
+                if hi == lo:
+                    continue
+                if held and g[lo] != group:
+                    yield from meet(held)
+                    held = []
+                group = g[lo]
+                held.append(batch.slice(lo, hi - lo))
+        if held:
+            yield from meet(held)
+
+    n = partitions(checked.sparkSession)
+    return both.repartition(n, "g").sortWithinPartitions("g").mapInArrow(run, "a long, b long").distinct()
 
 
 def groups(docs: DataFrame, *, key: str = "doc_id", text: str = "text", percent: int = 80, size: int = 2, bands: int = 24, rows: int = 4) -> DataFrame:

@@ -111,17 +111,19 @@ def find(docs: DataFrame, *, text: str = "text", key: str = "doc_id", min_suppor
     base = base.select(key, "__rk", F.transform("base", lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"))).alias("base"), F.when(F.size("base") > 0, near).alias("near"))
     base = materialise(base, "pii-base")
     pairs = base.where("near is not null").select("__rk", F.explode("near").alias("x")).select("__rk", "x.entity", F.explode("x.terms").alias("t"))
-    pairs = pairs.select("__rk", "entity", "t.term", "t.start", "t.end")
-    # Distinct documents of a pair; counting repeated rows once.
-    support = pairs.select("__rk", "entity", "term").distinct().groupBy("entity", "term").agg(F.count("*").alias("together")).where(F.col("together") >= min_support)
+    pairs = pairs.select("__rk", "entity", "t.term", "t.start", "t.end").distinct()
+    # Rows that hold a term beside an entity: distinct within the row, then counted.
+    flat = F.flatten(F.transform("near", lambda n: F.transform(n["terms"], lambda t: F.struct(n["entity"].alias("entity"), t["term"].alias("term")))))
+    held = base.where("near is not null").withColumn("held", F.array_distinct(flat))
+    support = held.select(F.explode("held").alias("h")).groupBy("h.entity", "h.term").agg(F.count("*").alias("together")).where(F.col("together") >= min_support)
     # A term's documents number at least those that hold it near any entity: terms that this bound
     # already puts below the threshold need no count over the corpus.
-    near_any = pairs.select("__rk", "term").distinct().groupBy("term").agg(F.count("*").alias("least"))
+    near_any = held.select(F.explode(F.array_distinct(F.transform("held", lambda h: h["term"]))).alias("term")).groupBy("term").agg(F.count("*").alias("least"))
     support = support.join(near_any, "term").where(F.col("together") >= generalise_at * F.col("least")).drop("least")
     support = materialise(support, "pii-support")
     df = term_documents(docs, support.select("term").distinct(), text)
     n_docs = base.count()
-    seen = base.where("near is not null").select("__rk", F.explode("near.entity").alias("entity")).distinct().groupBy("entity").agg(F.count("*").alias("de"))
+    seen = base.where("near is not null").select(F.explode(F.array_distinct("near.entity")).alias("entity")).groupBy("entity").agg(F.count("*").alias("de"))
     strength = support.join(df, "term").join(seen, "entity")
     share = F.col("together") / F.greatest(F.col("df"), F.col("together"))
     bits = F.log2(F.col("together") * F.lit(float(max(1, n_docs))) / (F.greatest(F.col("df"), F.col("together")) * F.col("de")))
