@@ -247,7 +247,7 @@ def completeness(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "reindex_calendar",
-    f"WITH {PRIO}, c AS (SELECT DISTINCT timestamp FROM bars), s AS (SELECT DISTINCT symbol FROM bars) SELECT symbol, {DAY}, round(close, 6) AS close, round(coalesce(dividends, 0), 6) AS dividends FROM c, s LEFT JOIN bars USING (symbol, timestamp)",
+    f"WITH {PRIO}, c AS (SELECT DISTINCT timestamp FROM bars), s AS (SELECT DISTINCT symbol FROM bars) SELECT symbol, {DAY}, round(close, 6) AS close, round(coalesce(dividends, 0), 6) AS dividends FROM (SELECT symbol, timestamp FROM c, s) LEFT JOIN bars USING (symbol, timestamp)",
 )
 def reindex_calendar(spark: SparkSession, sf_dir: str) -> DataFrame:
     bars = priority_bars(spark, sf_dir)
