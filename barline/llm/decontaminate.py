@@ -30,9 +30,12 @@ def words(text: Column) -> Column:
 
 def windows(benchmark: DataFrame, *, width: int = 10, text: str = "text", key: str = "item_id") -> DataFrame:
     """Distinct windows with the items that hold them: (win_id, win, item_ids)."""
-    items = benchmark.select(F.coalesce(F.col(key).cast("string"), F.lit("null")).alias("item"), words(F.col(text)).alias("w")).where(F.size("w") > 0)
-    starts = F.sequence(F.lit(1), F.greatest(F.size("w") - (width - 1), F.lit(1)))
-    win = items.select("item", F.explode(F.transform(starts, lambda i: F.slice(F.col("w"), i, width))).alias("win"))
+    def cut(w: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.size(w) - (width - 1), F.lit(1)))
+        return F.when(F.size(w) > 0, F.transform(starts, lambda i: F.slice(w, i, width))).otherwise(F.array().cast("array<array<string>>"))
+
+    each = F.element_at(F.transform(F.array(words(F.col(text))), cut), 1)
+    win = benchmark.select(F.coalesce(F.col(key).cast("string"), F.lit("null")).alias("item"), F.explode(each).alias("win"))
     win = win.groupBy("win").agg(F.collect_set("item").alias("items"))
     return win.select(F.sha2(F.concat_ws(" ", "win").cast("binary"), 256).alias("win_id"), "win", "items")
 
@@ -69,9 +72,15 @@ def find(docs: DataFrame, benchmark: DataFrame, *, width: int = 10, text: str =
     found = found.where((start >= 0) & (start + F.col("len") <= F.col("n"))).select("__rk", "win_id", start.alias("start"))
     found = found.join(F.broadcast(win) if small else win, "win_id").select("__rk", F.struct("start", "win", "items").alias("c"))
     candidates = found.groupBy("__rk").agg(F.collect_set("c").alias("cands"))
-    both = rows.join(candidates, "__rk", "left").select(key, "__rk", words(F.col("__text")).alias("w"), "cands")
-    here = F.filter("cands", lambda c: F.slice(F.col("w"), c["start"] + 1, F.size(c["win"])) == c["win"])
-    both = both.select(key, "__rk", F.size("w").alias("n_words"), F.when(F.col("cands").isNotNull(), here).alias("h"))
+    both = rows.join(candidates, "__rk", "left")
+
+    def check(w: Column) -> Column:
+        here = F.filter("cands", lambda c: F.slice(w, c["start"] + 1, F.size(c["win"])) == c["win"])
+        return F.struct(F.size(w).alias("n_words"), here.alias("h"))
+
+    # The words are bound to a lambda variable: named as a column the optimizer may write their
+    # expression into the filter, and a text would be cut anew for each candidate.
+    both = both.select(key, "__rk", F.element_at(F.transform(F.array(words(F.col("__text"))), check), 1).alias("x")).select(key, "__rk", "x.n_words", "x.h")
     hits = F.array_distinct(F.transform("h", lambda c: F.struct(c["start"].alias("start"), F.size(c["win"]).alias("len"))))
     items = F.array_sort(F.array_distinct(F.flatten(F.transform("h", lambda c: c["items"]))))
     none = F.array().cast("array<struct<start:int,len:int>>")
