@@ -94,7 +94,7 @@ def count(docs: DataFrame, shape: Shape) -> dict[str, np.ndarray]:
 
     parts = docs.select("__text", "__target").mapInArrow(run, "part int, block binary").repartitionById(n, F.col("part"))
     table = np.zeros(total, dtype=np.int64)
-    for row in parts.mapInArrow(add, "block binary").toLocalIterator():  # tables of fixed size
+    for row in parts.mapInArrow(add, "block binary").collect():  # tables of fixed size
         ids, c = vec.unpack(bytes(row[0])).view(np.int64)
         table[ids] = c
     names = ["target_word", "target_history", "target_pair", "word", "history", "pair"]
