@@ -54,6 +54,15 @@ def accepted_returns(bets: DataFrame, threshold: float = 0.5, keys: tuple[str, .
     return bets.groupBy(*keys).agg(F.coalesce(F.avg(F.when(F.col("proba") >= threshold, F.col("ret"))), F.lit(0.0)).alias("strategy_return"))
 
 
+def align_returns(data: DataFrame, bets: DataFrame, column: str = "ret") -> DataFrame:
+    """``data`` with the bet return of each (timestamp, symbol); a row without one is an error."""
+    keys = ["timestamp", "symbol"]
+    missing = data.join(bets, keys, "left_anti").limit(1).collect()
+    if missing:
+        raise ValueError(f"no bet return for {missing[0].symbol} at {missing[0].timestamp}")
+    return data.join(bets.select(*keys, column), keys, "left")
+
+
 def merge_paths(paths: DataFrame) -> DataFrame:
     """Mean over folds for each timestamp."""
     return paths.groupBy("timestamp").agg(F.avg("strategy_return").alias("strategy_return"))

@@ -73,3 +73,18 @@ def test_verdict_rules():
     assert [pipe.breadth_verdict(x) for x in (0.04, 0.001, 0.019)] == ["breadth_noise", "features_dead", "inconclusive"]
     assert [pipe.small_cap_verdict(x) for x in ((0.01, 0.015), (0.01, 0.025))] == ["exhausted", "candidate"]
     assert [pipe.momentum_verdict(x) for x in ((0.03, 0.04), (0.03, -0.04), (0.01, 0.015), ())] == ["JA", "NEIN", "NEIN", "NEIN"]
+
+
+def test_align_and_report(spark):
+    from barline.config import Settings
+    from barline.plans import report
+
+    data = spark.createDataFrame([(1, "A"), (2, "A")], "timestamp int, symbol string")
+    bets = spark.createDataFrame([(1, "A", 0.5)], "timestamp int, symbol string, ret double")
+    with pytest.raises(ValueError, match="at 2"):
+        met.align_returns(data, bets)
+    assert met.align_returns(data.where("timestamp = 1"), bets).first().ret == 0.5
+    rows = spark.createDataFrame([("all", 0.25, None)], "arm string, ic double, icir double")
+    assert report.results_table(rows, ["arm"], ["ic", "icir"]).first().line.split() == ["all", "0.250000", "n/a"]
+    assert report.for_horizon(Settings(), 2).research.embargo == 2
+    assert "pyspark" in report.library_versions()
