@@ -16,7 +16,7 @@ from barline.config import Research, Settings
 def results_table(rows: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
     """One text line for each result row; missing values read ``n/a``."""
     cells = [F.rpad(F.col(k).cast("string"), 16, " ") for k in keys]
-    cells += [F.lpad(F.coalesce(F.format_string("%.6f", F.col(v).cast("double")), F.lit("n/a")), 14, " ") for v in values]
+    cells += [F.lpad(F.when(F.col(v).isNull(), "n/a").otherwise(F.format_string("%.6f", F.col(v).cast("double"))), 14, " ") for v in values]
     return rows.select(F.rtrim(F.concat(*cells)).alias("line"))
 
 
