@@ -61,8 +61,8 @@ def decode(unit: np.ndarray) -> list[np.ndarray]:
     return np.split(ids[order], cuts)
 
 
-def _matrix(column) -> tuple[np.ndarray, list]:
-    """Rows of equal length as float64, and for each row whether it is a usable vector."""
+def _rows(column) -> tuple[list, list[bool]]:
+    """The vectors, and for each whether it is there without null components."""
     rows = column.to_pylist()
     ok = [v is not None and len(v) > 0 and all(c is not None for c in v) for v in rows]
     return rows, ok
@@ -74,7 +74,7 @@ def with_filters(classes: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            rows, ok = _matrix(batch.column(3))
+            rows, ok = _rows(batch.column(3))
             by_dim: dict[int, list[int]] = {}
             for i, good in enumerate(ok):
                 if good:

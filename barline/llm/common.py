@@ -9,7 +9,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-ROW_KEY = "__rk"
+from barline.session import ship as ship_package
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -67,25 +67,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the Python workers once per application, as ``--py-files`` would, and
-    bound the texts that a worker holds at once."""
-    import io
-    import zipfile
-    from pathlib import Path
-
-    import barline
-
+    """Send this package to the Python workers, and bound the texts that a worker holds at once."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
-    sc = spark.sparkContext
-    if getattr(sc, "_barline_shipped", False):
-        return
-    root = Path(barline.__file__).resolve().parent
-    data = io.BytesIO()
-    with zipfile.ZipFile(data, "w") as z:
-        for p in sorted(root.rglob("*.py")):
-            z.write(p, p.relative_to(root.parent))
-    folder = tempfile.mkdtemp(prefix="barline-")  # the driver serves this file to the executors
-    target = os.path.join(folder, "barline_package.zip")
-    Path(target).write_bytes(data.getvalue())
-    sc.addPyFile(target)
-    sc._barline_shipped = True
+    ship_package(spark)
