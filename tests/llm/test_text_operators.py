@@ -220,6 +220,34 @@ def test_language_model_scores_match_brute_force(spark):
     assert lm_score.score(df.limit(0), models, keep=["doc_id"]).count() == 0
 
 
+def test_language_model_counts_are_exact_at_any_vocabulary(spark):
+    ship(spark)
+    rng = np.random.default_rng(5)
+    docs = [(i, " ".join(f"w{x}" for x in rng.integers(0, 300, 40))) for i in range(30)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    ids, shape = spark.createDataFrame([(i,) for i in range(9)], "doc_id long"), lm_score.Shape(word_bits=4, pair_bits=4)
+    models = lm_score.fit(df, ids, shape=shape)
+    texts = [(i, ["<s>", *t.split()]) for i, t in docs]
+    word, hist, pair = ([collections.Counter(), collections.Counter()] for _ in range(3))
+    for i, w in texts:
+        for k in (0, 1):
+            if k == 1 or i < 9:
+                word[k].update(w[1:])
+                hist[k].update(w[:-1])
+                pair[k].update(zip(w, w[1:]))
+
+    def loss(k, h, x):
+        p = (word[k][x] + 0.5) / (sum(word[k].values()) + 0.5 * len(word[1]))
+        return -math.log((pair[k][h, x] + 8 * p) / (hist[k][h] + 8))
+
+    got = {r.doc_id: r for r in lm_score.score(df, models, keep=["doc_id"]).collect()}
+    for i, w in texts:
+        ce = [np.mean([loss(k, h, x) for h, x in zip(w, w[1:])]) for k in (0, 1)]
+        assert (got[i].ce_target, got[i].ce_background) == pytest.approx(ce, rel=1e-9)
+    once = lm_score.fit_score(df, ids, shape=shape).collect()
+    assert {r.doc_id: tuple(r) for r in once} == {i: pytest.approx(tuple(r)) for i, r in got.items()}
+
+
 def test_pipeline_keeps_clean_documents(spark, tmp_path):
     import corpus_pipeline
 
