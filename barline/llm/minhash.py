@@ -261,7 +261,8 @@ def stragglers(checked: DataFrame, *, percent: int, block: int = 512) -> DataFra
 
 
 def groups(docs: DataFrame, *, key: str = "doc_id", text: str = "text", percent: int = 80, size: int = 2, bands: int = 24, rows: int = 4) -> DataFrame:
-    """(key, __rk, n_shingles, component): component is the least key that links reach.
+    """(key, __rk, n_shingles, component, __group): component is the least key that links reach;
+    ``__group`` tells groups apart whatever their keys (null: no words).
 
     Documents without words, empty or null texts have no shingles and are their own component;
     repeated rows fall into one class; nulls among the keys count as greatest; an empty table gives an
@@ -285,15 +286,15 @@ def groups(docs: DataFrame, *, key: str = "doc_id", text: str = "text", percent:
     member = connected_components(links)
     placed = classes.select("set", "rep", "least").join(member.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
     name = placed.groupBy("root").agg(F.min("least").alias("component"))
-    named_set = materialise(placed.select("set", "root").join(name, "root").select("set", "component"), "minhash-names")
+    named_set = materialise(placed.select("set", "root").join(name, "root").select("set", "root", "component"), "minhash-names")
     out = sig.select("doc", "__rk", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("set")).alias("set")).join(named_set, "set", "left")
-    return out.select(F.col("doc").alias(key), "__rk", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc")).alias("component"))
+    return out.select(F.col("doc").alias(key), "__rk", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc")).alias("component"), F.col("root").alias("__group"))
 
 
 def keep_one(docs: DataFrame, *, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """``docs`` with one row of each group (the least key, then row key); rows without words stay."""
     found = groups(docs, key=key, text=text, **options)
-    first = found.where("n_shingles > 0").groupBy("component").agg(F.min(F.struct(F.col(key).isNull().alias("z"), F.col(key), F.col("__rk"))).alias("m"))
+    first = found.where("n_shingles > 0").groupBy("__group").agg(F.min(F.struct(F.col(key).isNull().alias("z"), F.col(key), F.col("__rk"))).alias("m"))
     keep = first.select(F.col("m.__rk").alias("__rk"), F.lit(True).alias("__one"))
     keep = keep.unionByName(found.where("n_shingles = 0").select("__rk").distinct().withColumn("__one", F.lit(False)))
     rows = docs.withColumn("__rk", row_key(key, text)).join(keep, "__rk")

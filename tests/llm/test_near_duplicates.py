@@ -81,6 +81,15 @@ def test_one_row_of_each_group_stays(spark):
     assert minhash.keep_one(df.limit(0)).count() == 0
 
 
+def test_groups_without_a_key_or_with_one_key_stay_apart(spark):
+    ship(spark)
+    docs = [(None, "a b c d e f g"), (None, "A b c d e f g"), (None, "other words stand here alone"), (5, "one text of number five is this"), (5, "quite another with the same number here")]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    left = [(r.doc_id, r.text.lower()) for r in minhash.keep_one(df, size=5).collect()]
+    assert sorted(t for _, t in left) == sorted({t.lower() for _, t in docs})
+    assert len(left) == 4
+
+
 def test_signature_estimates_similarity():
     rng = np.random.default_rng(0)
     pool = rng.integers(0, 1 << 62, 300).astype(np.uint64)
