@@ -1,10 +1,10 @@
 """Personal data: pattern spans, and information-theoretic sanitisation around them.
 
-Pattern matches (email, ip, card, phone) are the protected entities.  Terms that stand near
-them are weighed by what they disclose: over the whole corpus, the share P(entity | term) of
-the documents with the term in which it stands beside that entity, and the pointwise mutual
-information.  Terms beyond ``generalise_at`` are replaced by a class, beyond ``remove_at``
-they are removed.  Only DataFrame functions are used.
+Pattern matches (email, ip, card, phone) are the protected entities.  Terms of their documents
+are weighed by what they disclose: over the whole corpus, the share P(entity | term) of the
+documents with the term that hold the entity as well.  Terms beyond ``generalise_at`` are
+replaced by a class, beyond ``remove_at`` they are removed, at every place of every text.
+Only DataFrame functions are used.
 """
 
 from __future__ import annotations
@@ -26,15 +26,15 @@ IP = r"(?:(?<![0-9])|\G)[0-9]++(?:\.[0-9]++){3}"
 CARD = r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){15,18}+(?![0-9])(?![\x20-][0-9])"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 TERM = r"(?<![\p{L}\p{N}_￿])\p{L}{3,}(?![\p{L}\p{N}_￿])"
-WINDOW = 48
 
 _SPAN = "array<struct<kind:int,start:int,end:int,value:string>>"
 
 
-def _spans(text: Column, pattern: str, kind: int) -> Column:
+def _spans(text: Column, pattern: str | Column, kind: int) -> Column:
     """Leftmost non-overlapping matches with code-point bounds: what ``split`` leaves between the
     matches gives their places."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    pattern = F.lit(pattern)
+    found = F.regexp_extract_all(text, pattern, F.lit(0))
     gaps = F.transform(F.split(text, pattern, -1), F.length)
     start = F.struct(F.lit(0).alias("at"), F.lit(None).cast(_SPAN).alias("out"))
     merged = F.arrays_zip(found.alias("m"), F.slice(gaps, 1, F.size(found)).alias("g"))
@@ -72,17 +72,22 @@ def entity(span: Column) -> Column:
     return F.concat_ws(":", span["kind"].cast("string"), F.when(span["kind"] < 2, F.lower(span["value"])).otherwise(_digits(span["value"])))
 
 
-def _context_terms(text: Column, span: Column) -> Column:
-    """Terms within ``WINDOW`` code points before and after a span, with their places in the text.
-    A word cut by the window carries a mark that no term may touch."""
-    a = F.greatest(span["start"] - WINDOW, F.lit(0))
-    before = F.concat(F.when(a > 0, F.lit("￿")).otherwise(F.lit("\n")), F.substring(text, a + 1, span["start"] - a), F.lit("￿"))
-    after = F.concat(F.lit("￿"), F.substring(text, span["end"] + 1, F.lit(WINDOW)), F.when(F.length(text) > span["end"] + WINDOW, F.lit("￿")).otherwise(F.lit("\n")))
+def _masked(text: Column, base: Column) -> Column:
+    """``text`` with marks, which no term may touch, in place of the entities."""
+
+    def step(acc: Column, s: Column) -> Column:
+        begin = F.greatest(s["start"], acc["at"])
+        piece = F.concat(acc["out"], F.substring(text, acc["at"] + 1, begin - acc["at"]), F.repeat(F.lit("￿"), s["end"] - begin))
+        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(s["end"] > acc["at"], piece).otherwise(acc["out"]).alias("out"))
+
+    ordered = F.array_sort(F.transform(base, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))))
+    done = F.aggregate(ordered, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text))))
+    return F.when(F.size(base) == 0, text).otherwise(done)
 
-    def moved(found: Column, by: Column) -> Column:
-        return F.transform(found, lambda s: F.struct(F.lower(s["value"]).alias("term"), (s["start"] + by).cast("int").alias("start"), (s["end"] + by).cast("int").alias("end")))
 
-    return F.concat(moved(_spans(before, TERM, 4), a - 1), moved(_spans(after, TERM, 4), span["end"] - 1))
+def _words(text: Column) -> Column:
+    """Distinct terms of a text, as written."""
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(TERM), F.lit(0)))
 
 
 def term_documents(docs: DataFrame, terms: DataFrame, text: str, *, broadcast_rows: int = 50_000) -> DataFrame:
@@ -98,6 +103,39 @@ def term_documents(docs: DataFrame, terms: DataFrame, text: str, *, broadcast_ro
     return words.groupBy("term").agg(F.count("*").alias("df")).join(terms, "term")
 
 
+def telling_terms(rows: DataFrame, base: DataFrame, *, min_support: int, generalise_at: float, remove_at: float, min_bits: float) -> DataFrame:
+    """(term, remove) of the terms that disclose some entity."""
+    n_docs = base.count()
+    private = base.where(F.size("entities") > 0)
+    seen = private.select("__id", F.explode("entities").alias("entity"))
+    often = materialise(seen.groupBy("entity").agg(F.count("*").alias("de")).where(F.col("de") >= min_support), "pii-entities")
+    # A term's documents with some entity number at least those with a given one: terms that this
+    # bound already puts below the threshold never meet the entities.
+    held = private.select("__id", F.explode("words").alias("term"))
+    some = held.groupBy("term").agg(F.count("*").alias("least")).where(F.col("least") >= min_support)
+    some = materialise(some, "pii-terms")
+    df = term_documents(rows, some.select("term"), "__text")
+    some = materialise(some.join(df, "term").where(F.col("least") >= generalise_at * F.col("df")).select("term", "df"), "pii-likely")
+    together = held.join(some, "term").select("__id", "term").join(seen.join(often, "entity").select("__id", "entity"), "__id").groupBy("entity", "term").agg(F.count("*").alias("together"))
+    strength = together.where(F.col("together") >= min_support).join(some, "term").join(often, "entity")
+    share = F.col("together") / F.greatest(F.col("df"), F.col("together"))
+    base_rate = F.col("de") / F.lit(float(max(1, n_docs)))
+    bits = F.log2(share / base_rate)
+    told = strength.where((share >= generalise_at) & (bits >= min_bits))
+    return told.groupBy("term").agg(F.max(share >= remove_at).alias("remove"))
+
+
+def term_places(rows: DataFrame, told: DataFrame, *, broadcast_rows: int = 500_000) -> DataFrame:
+    """(__rk, terms): every place of the terms ``told`` in ``rows`` (__rk, __text), but within entities."""
+    told = F.broadcast(told) if told.count() <= broadcast_rows else told
+    forms = rows.select("__rk", F.explode(_words(F.col("__text"))).alias("form")).withColumn("term", F.lower("form")).join(told, "term")
+    forms = forms.groupBy("__rk").agg(F.collect_set("form").alias("forms"), F.collect_set(F.when(F.col("remove"), F.col("form"))).alias("gone"))
+    texts = rows.join(forms, "__rk").withColumn("found", _masked(F.col("__text"), base_spans(F.col("__text"))))
+    pattern = F.concat(F.lit(r"(?<![\p{L}\p{N}_￿])(?:"), F.array_join("forms", "|"), F.lit(r")(?![\p{L}\p{N}_￿])"))
+    places = F.transform(_spans(F.col("found"), pattern, 4), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.array_contains("gone", s["value"]).alias("remove")))
+    return texts.select("__rk", places.alias("terms")).groupBy("__rk").agg(F.first("terms").alias("terms"))
+
+
 def find(docs: DataFrame, *, text: str = "text", key: str = "doc_id", min_support: int = 3, generalise_at: float = 0.5, remove_at: float = 0.9, min_bits: float = 6.0) -> DataFrame:
     """All spans of each row: (key, __rk, base array, terms array).
 
@@ -107,28 +145,11 @@ def find(docs: DataFrame, *, text: str = "text", key: str = "doc_id", min_suppor
     """
     rows = docs.select(F.col(key).alias(key), row_key(key, text).alias("__rk"), F.coalesce(F.col(text), F.lit("")).alias("__text"))
     base = rows.withColumn("base", base_spans(F.col("__text")))
-    near = F.transform("base", lambda s: F.struct(entity(s).alias("entity"), _context_terms(F.col("__text"), s).alias("terms")))
-    base = base.select(key, "__rk", F.transform("base", lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"))).alias("base"), F.when(F.size("base") > 0, near).alias("near"))
+    words = F.when(F.size("base") > 0, F.array_distinct(F.transform(_words(_masked(F.col("__text"), F.col("base"))), F.lower)))
+    base = base.select(key, "__rk", F.monotonically_increasing_id().alias("__id"), F.transform("base", lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"))).alias("base"), F.array_distinct(F.transform("base", entity)).alias("entities"), words.alias("words"))
     base = materialise(base, "pii-base")
-    pairs = base.where("near is not null").select("__rk", F.explode("near").alias("x")).select("__rk", "x.entity", F.explode("x.terms").alias("t"))
-    pairs = pairs.select("__rk", "entity", "t.term", "t.start", "t.end").distinct()
-    # Rows that hold a term beside an entity: distinct within the row, then counted.
-    flat = F.flatten(F.transform("near", lambda n: F.transform(n["terms"], lambda t: F.struct(n["entity"].alias("entity"), t["term"].alias("term")))))
-    held = base.where("near is not null").withColumn("held", F.array_distinct(flat))
-    support = held.select(F.explode("held").alias("h")).groupBy("h.entity", "h.term").agg(F.count("*").alias("together")).where(F.col("together") >= min_support)
-    # A term's documents number at least those that hold it near any entity: terms that this bound
-    # already puts below the threshold need no count over the corpus.
-    near_any = held.select(F.explode(F.array_distinct(F.transform("held", lambda h: h["term"]))).alias("term")).groupBy("term").agg(F.count("*").alias("least"))
-    support = support.join(near_any, "term").where(F.col("together") >= generalise_at * F.col("least")).drop("least")
-    support = materialise(support, "pii-support")
-    df = term_documents(docs, support.select("term").distinct(), text)
-    n_docs = base.count()
-    seen = base.where("near is not null").select(F.explode(F.array_distinct("near.entity")).alias("entity")).groupBy("entity").agg(F.count("*").alias("de"))
-    strength = support.join(df, "term").join(seen, "entity")
-    share = F.col("together") / F.greatest(F.col("df"), F.col("together"))
-    bits = F.log2(F.col("together") * F.lit(float(max(1, n_docs))) / (F.greatest(F.col("df"), F.col("together")) * F.col("de")))
-    told = strength.where((share >= generalise_at) & (bits >= min_bits)).select("entity", "term", (share >= remove_at).alias("remove"))
-    hits = pairs.join(told, ["entity", "term"]).groupBy("__rk").agg(F.array_sort(F.collect_set(F.struct("start", "end", "remove"))).alias("terms"))
+    told = materialise(telling_terms(rows, base, min_support=min_support, generalise_at=generalise_at, remove_at=remove_at, min_bits=min_bits), "pii-told")
+    hits = term_places(rows.select("__rk", "__text"), told)
     none = F.array().cast("array<struct<start:int,end:int,remove:boolean>>")
     return base.select(key, "__rk", "base").join(hits, "__rk", "left").withColumn("terms", F.coalesce("terms", none))
 

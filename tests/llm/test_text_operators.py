@@ -60,6 +60,17 @@ def test_pii_terms_that_disclose(spark):
     assert gone[4] == "if  <EMAIL>"
 
 
+def test_pii_telling_terms_go_at_every_place(spark):
+    filler = " word" * 20
+    rows = [(i, f"write to bob@x.com{filler} Bobbington") for i in range(4)] + [(10, "alone stands bobbington here, Bobbington")]
+    rows += [(20 + i, f"this is a text{filler} write here alone stands number") for i in range(6)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    out = {r.doc_id: r.text for r in pii.sanitise(df, min_bits=0, remove_at=1.1).collect()}
+    assert out[10] == "alone stands <TERM> here, <TERM>"
+    assert out[0] == f"write to <EMAIL>{filler} <TERM>"
+    assert out[20] == rows[-6][1]
+
+
 def test_pii_counts_by_broadcast_and_shuffle_agree(spark):
     docs = spark.createDataFrame([("one two three",), ("Two four",), (None,)], "text string")
     terms = spark.createDataFrame([("two",), ("four",), ("nine",)], "term string")
