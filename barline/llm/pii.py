@@ -103,8 +103,13 @@ def term_documents(docs: DataFrame, terms: DataFrame, text: str, *, broadcast_ro
     return words.groupBy("term").agg(F.count("*").alias("df")).join(terms, "term")
 
 
-def telling_terms(rows: DataFrame, base: DataFrame, *, min_support: int, generalise_at: float, remove_at: float, min_bits: float) -> DataFrame:
-    """(term, remove) of the terms that disclose some entity."""
+def telling_terms(rows: DataFrame, base: DataFrame, *, min_support: int, generalise_at: float, remove_at: float, min_bits: float, min_npmi: float) -> DataFrame:
+    """(term, remove) of the terms that disclose some entity.
+
+    Beside the share, which decides, the mutual information must reach ``min_npmi`` of what it is
+    at P(entity | term) = 1: an entity that stands in most documents is not told by words that are
+    merely common.
+    """
     n_docs = base.count()
     private = base.where(F.size("entities") > 0)
     seen = private.select("__id", F.explode("entities").alias("entity"))
@@ -121,7 +126,7 @@ def telling_terms(rows: DataFrame, base: DataFrame, *, min_support: int, general
     share = F.col("together") / F.greatest(F.col("df"), F.col("together"))
     base_rate = F.col("de") / F.lit(float(max(1, n_docs)))
     bits = F.log2(share / base_rate)
-    told = strength.where((share >= generalise_at) & (bits >= min_bits))
+    told = strength.where((share >= generalise_at) & (base_rate < 1) & (bits >= min_bits) & (bits >= min_npmi * F.log2(1 / base_rate)))
     return told.groupBy("term").agg(F.max(share >= remove_at).alias("remove"))
 
 
@@ -136,7 +141,7 @@ def term_places(rows: DataFrame, told: DataFrame, *, broadcast_rows: int = 500_0
     return texts.select("__rk", places.alias("terms")).groupBy("__rk").agg(F.first("terms").alias("terms"))
 
 
-def find(docs: DataFrame, *, text: str = "text", key: str = "doc_id", min_support: int = 3, generalise_at: float = 0.5, remove_at: float = 0.9, min_bits: float = 6.0) -> DataFrame:
+def find(docs: DataFrame, *, text: str = "text", key: str = "doc_id", min_support: int = 3, generalise_at: float = 0.5, remove_at: float = 0.9, min_bits: float = 0.0, min_npmi: float = 0.5) -> DataFrame:
     """All spans of each row: (key, __rk, base array, terms array).
 
     Null texts are empty; texts without a match have empty arrays; repeated rows get equal spans
@@ -148,7 +153,7 @@ def find(docs: DataFrame, *, text: str = "text", key: str = "doc_id", min_suppor
     words = F.when(F.size("base") > 0, F.array_distinct(F.transform(_words(_masked(F.col("__text"), F.col("base"))), F.lower)))
     base = base.select(key, "__rk", F.monotonically_increasing_id().alias("__id"), F.transform("base", lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"))).alias("base"), F.array_distinct(F.transform("base", entity)).alias("entities"), words.alias("words"))
     base = materialise(base, "pii-base")
-    told = materialise(telling_terms(rows, base, min_support=min_support, generalise_at=generalise_at, remove_at=remove_at, min_bits=min_bits), "pii-told")
+    told = materialise(telling_terms(rows, base, min_support=min_support, generalise_at=generalise_at, remove_at=remove_at, min_bits=min_bits, min_npmi=min_npmi), "pii-told")
     hits = term_places(rows.select("__rk", "__text"), told)
     none = F.array().cast("array<struct<start:int,end:int,remove:boolean>>")
     return base.select(key, "__rk", "base").join(hits, "__rk", "left").withColumn("terms", F.coalesce("terms", none))

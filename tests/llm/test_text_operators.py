@@ -71,6 +71,14 @@ def test_pii_telling_terms_go_at_every_place(spark):
     assert out[20] == rows[-6][1]
 
 
+def test_pii_hot_entity_with_the_defaults(spark):
+    rows = [(i, "ask Bobbington at bob@x.com now") for i in range(100)]
+    rows += [(100 + i, "ask now at this other place of number") for i in range(200)]
+    out = {r.doc_id: r.text for r in pii.sanitise(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {out[i] for i in range(100)} == {"ask  at <EMAIL> now"}
+    assert {out[i] for i in range(100, 300)} == {rows[-1][1]}
+
+
 def test_pii_counts_by_broadcast_and_shuffle_agree(spark):
     docs = spark.createDataFrame([("one two three",), ("Two four",), (None,)], "text string")
     terms = spark.createDataFrame([("two",), ("four",), ("nine",)], "term string")
