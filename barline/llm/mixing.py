@@ -4,6 +4,8 @@ The mix is a sequence of slots of ``block`` words.  Slot n lands on the golden-r
 frac((n + 1/2) * phi); the cumulative target weights map it to a source.  Slots are ranked
 per source, and the k-th slot of a source takes the k-th block of that source's stream:
 its documents in hash order, cut into blocks of equal size, begun again when it ends.
+The schedule sets the order only: a source's last slot ends at its target, rounded to words,
+and a source without a slot gets one by its hash.
 Only DataFrame functions are used.
 """
 
@@ -108,12 +110,14 @@ def mix(docs: DataFrame, *, text: str = "text", source: str = "source", key: str
     per_stripe = per_stripe.withColumn("ahead", F.coalesce(F.sum("count").over(Window.partitionBy("src").orderBy("stripe").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     ranked = slots.withColumn("r", F.row_number().over(Window.partitionBy("src", "stripe").orderBy("id")) - 1)
     ranked = ranked.join(per_stripe.select("src", "stripe", "ahead"), ["src", "stripe"]).select("src", "id", (F.col("r") + F.col("ahead")).alias("rank"))
-    # A slot reads stream words [rank * block, (rank + 1) * block) of the source, ending at its
+    # A slot reads stream words [rank * block, (rank + 1) * block) of the source, the last one to its
     # target, modulo the size of the source: one or more pieces inside blocks of the stream.
     g = goal.select("src", "source_size", "target")
-    piece = ranked.join(g, "src").where("source_size > 0")
-    begin = F.col("rank") * block
-    end = F.least(begin + block, F.round("target").cast("long"))
+    own = g.join(per_stripe.groupBy("src").agg(F.sum("count").alias("slots")), "src", "left")
+    late = own.where("slots is null").select("src", F.pmod(F.xxhash64("src"), F.lit(max(1, -(-total // block)))).alias("id"), F.lit(0).cast("long").alias("rank"))
+    piece = ranked.unionByName(late).join(own, "src").where("source_size > 0")
+    begin, goal_words = F.col("rank") * block, F.round("target").cast("long")
+    end = F.when(F.col("rank") + 1 == F.coalesce("slots", F.lit(1)), goal_words).otherwise(F.least(begin + block, goal_words))
     piece = piece.select("src", "id", "source_size", begin.alias("a"), end.alias("b")).where("a < b")
     lap = F.explode(F.sequence(F.expr("a div source_size"), F.expr("(b - 1) div source_size"))).alias("lap")
     piece = piece.select("src", "id", "source_size", "a", "b", lap)

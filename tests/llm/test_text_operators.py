@@ -158,6 +158,18 @@ def test_mixing_targets_and_places(spark):
     assert mixing.op6_mixing(df.where("text is null")).first().taken == 0
 
 
+@pytest.mark.parametrize("block", [256, 3])
+def test_mixing_takes_the_rounded_target_of_every_source(spark, block):
+    sizes = {f"big{k}": 9000 + 700 * k for k in range(3)} | {f"tiny{k}": 3 + 9 * k for k in range(12)} | {"none": 0}
+    rows = [(i, "w " * n, s) for i, (s, size) in enumerate(sizes.items()) for n in [size // 3, size - size // 3]]
+    out = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string"), block=block).collect()
+    taken, target = collections.Counter(), {r.source: r.target for r in out}
+    for r in out:
+        taken[r.source] += r.taken
+        assert (r.first_slot is None) == (r.taken == 0)
+    assert {s: taken[s] for s in sizes} == {s: math.floor(target[s] + 0.5) for s in sizes}
+
+
 LANGS = {"xx": "kra tul vem zo brik", "yy": "ail oue lent euri seau", "zz": "ñor que lladé cíon asto"}
 
 
