@@ -2,10 +2,10 @@
 
 A random rotation splits a unit vector into two parts; each part has a small random code, and
 every pair of code words is a filter direction (a product code).  A vector is list-decoded to
-all filters whose direction it exceeds: first-part words that cannot reach the threshold with
-the best second-part word are pruned.  Vectors of one label meet in a filter's bucket, and
-every pair there is checked by its cosine in double precision.  Two independent codes and a
-low threshold make a pair at 0.93 share some filter almost surely.
+its nearest ``NEAREST`` filters of each code, and in few dimensions also to all within a cap, so
+that every vector has filters.  Vectors of one label meet in a filter's bucket, and every pair
+there is checked by its cosine in double precision.  Whether a pair shares a filter depends on
+its cosine and the random rotation only; the README has the share of pairs at 0.93 that do not.
 
 Equal vectors of a label are one class with a weight.  A pair that shares several filters
 counts in the least of them.  Buckets beyond ``cut`` classes are cut into blocks, and blocks
@@ -23,8 +23,9 @@ from barline.llm.common import materialise, partitions
 from barline.llm.components import connected_components
 
 CODES, WORDS = 2, 32
-#: Filters whose cosine with the vector is at least min(TAU / sqrt(dim), CAP).
-TAU, CAP = 2.1, 0.45
+#: Filters that a vector takes of each code; up to SMALL dimensions also those whose cosine with it
+#: is at least CAP.
+NEAREST, SMALL, CAP = 16, 21, 0.45
 
 
 def directions(dim: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -40,7 +41,7 @@ def directions(dim: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]
 
 
 def decode(unit: np.ndarray) -> list[np.ndarray]:
-    """Ids of the filters that each row (a unit vector) exceeds."""
+    """Ids of the filters of each row (a unit vector)."""
     n, dim = unit.shape
     if dim == 1:
         return [np.zeros(1, np.int32)] * n
@@ -50,11 +51,12 @@ def decode(unit: np.ndarray) -> list[np.ndarray]:
         rotation, left, right = directions(dim, code)
         x = unit @ rotation
         a, b = x[:, :half] @ left.T, x[:, half:] @ right.T
-        tau = np.sqrt(2.0) * min(TAU / np.sqrt(dim), CAP)
-        row, i = np.nonzero(a >= tau - b.max(axis=1, keepdims=True))
-        at, j = np.nonzero(a[row, i][:, None] + b[row] >= tau)
-        rows.append(row[at])
-        ids.append(code * WORDS * WORDS + i[at] * WORDS + j)
+        near = (a[:, :, None] + b[:, None, :]).reshape(n, -1)
+        taken = near >= np.sqrt(2.0) * CAP if dim <= SMALL else np.zeros(near.shape, dtype=bool)
+        np.put_along_axis(taken, np.argpartition(-near, NEAREST, axis=1)[:, :NEAREST], True, axis=1)
+        row, f = np.nonzero(taken)
+        rows.append(row)
+        ids.append(code * WORDS * WORDS + f)
     row, ids = np.concatenate(rows), np.concatenate(ids).astype(np.int32)
     order = np.lexsort((ids, row))
     cuts = np.searchsorted(row[order], np.arange(1, n))

@@ -123,6 +123,18 @@ def brute_vectors(rows):
     return collections.Counter((r[0], links[i], least[find(parent, i)]) for i, r in enumerate(rows))
 
 
+@pytest.mark.parametrize("dim", [16, 64, 256])
+def test_planted_pairs_share_a_filter(dim):
+    rng = np.random.default_rng(dim)
+    a, z = rng.normal(size=(2, 5000, dim))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    z -= (z * a).sum(axis=1, keepdims=True) * a
+    b = 0.93 * a + np.sqrt(1 - 0.93**2) * z / np.linalg.norm(z, axis=1, keepdims=True)
+    one, two = cap_filters.decode(a), cap_filters.decode(b)
+    assert min(map(len, one)) > 0
+    assert sum(not set(x) & set(y) for x, y in zip(one, two)) == 0
+
+
 @pytest.mark.parametrize("cut", [2048, 3])
 def test_vectors_match_brute_force(spark, cut):
     ship(spark)
