@@ -450,7 +450,7 @@ def fracdiff(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("min_ffd_d")
 def min_ffd_d(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lab.min_ffd_d(priority_bars(spark, sf_dir), thresh=1e-2)
+    return lab.min_ffd_d(priority_bars(spark, sf_dir))
 
 
 TRAIN_END, TEST_START = date(1996, 12, 30), date(1997, 1, 14)
@@ -513,36 +513,37 @@ def null_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(*[(F.round(c, 6) + 0.0).alias(c) for c in out.columns])
 
 
-FAST = Research(horizon=5, embargo=5, train_end=TRAIN_END, test_start=TEST_START, rounds=5, min_leaf=5)
+SURVEYED = Research(horizon=5, embargo=5, train_end=TRAIN_END, test_start=TEST_START)
 
 
 @query("run_baseline")
 def run_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
     bars = priority_bars(spark, sf_dir)
-    start = pipelines.settle_start(FAST, FAST.horizon, bars, lab.forward_returns(bars, FAST.horizon))
-    return pipelines.run_baseline(bars, replace(FAST, test_start=start)).metrics
+    start = pipelines.settle_start(SURVEYED, SURVEYED.horizon, bars, lab.forward_returns(bars, SURVEYED.horizon))
+    return pipelines.run_baseline(bars, replace(SURVEYED, test_start=start)).metrics
 
 
 @query("overfitting_gate")
 def overfitting_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    gate = pipelines.overfitting_gate(_dataset(spark, sf_dir), ("momentum_5", "ma_ratio_20"), FAST, variance=trials.variance(trials.trials(spark)), trials=trials.N_TRIALS, n=4, k=1)
+    bars = priority_bars(spark, sf_dir)
+    data = mod.assemble(feat.production_matrix(bars), lab.forward_returns(bars, SURVEYED.horizon), feat.PRODUCTION)
+    gate = pipelines.overfitting_gate(data, feat.PRODUCTION, SURVEYED, variance=trials.variance(trials.trials(spark)), trials=trials.N_TRIALS)
     return gate.merged
 
 
 @query("meta_triage")
 def meta_triage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pipelines.meta_triage(priority_bars(spark, sf_dir), FAST)["classification"]
+    return pipelines.meta_triage(priority_bars(spark, sf_dir), SURVEYED)["classification"]
 
 
 @query("triage")
 def triage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    arms = {"reversal": feat.ARMS["reversal"], "range_vol": feat.ARMS["range_vol"]}
-    return pipelines.triage(priority_bars(spark, sf_dir), FAST, horizons=(2,), arms=arms)
+    return pipelines.triage(priority_bars(spark, sf_dir), SURVEYED)
 
 
 @query("momentum_probe")
 def momentum_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pipelines.momentum_probe(priority_bars(spark, sf_dir), FAST, horizons=(63,))
+    return pipelines.momentum_probe(priority_bars(spark, sf_dir), SURVEYED)
 
 
 @query("window_bars", f"WITH {HOUR} SELECT symbol, strftime(timestamp, '%Y-%m-%d %H') AS hour, {r_sql(*OHLCV)} FROM bars")
