@@ -1,4 +1,4 @@
-"""Exact detection of long repeats by a log-structured index of sampled positions.
+"""Exact detection of long repeats by a logarithmic family of sorted arrays of sampled suffixes.
 
 A text is a sequence of symbols (bytes or words).  A *window* of ``window`` symbols is repeated
 if it starts at another place too.  Of the grams of ``gram`` symbols inside a window, the one of
@@ -6,21 +6,29 @@ least hash (the last one on ties) is its *anchor*: equal windows have equal anch
 offsets, so every repeat meets itself at an anchor, though only about 2 / (window - gram + 2) of
 the positions are indexed.
 
-*Run*: the anchors of a batch, sorted by gram; each carries a hash of all the text that its
-windows cover.  *Merge-scan*: a run and the existing levels meet partition by partition in gram
-order.  Anchors whose whole cover recurs are settled; anchors that share the gram only are
-verified window by window against the texts.  *Levels*: a new run absorbs every level that is
-not larger, as a binary counter does, and equal covers are compacted to one entry.
-
-Rows travel as packed blocks of numpy columns, one for each target partition; copies inside a
-block are combined before the shuffle, so a passage held by a third of all documents costs one
-entry for each block.  Keys are 64-bit hashes of content: gram and cover together have 128 bits,
-windows are verified by two hashes of different bases.
+*Entry*: the suffix that starts at an anchor, with its sort key and a hash of all the text (the
+cover) that the windows of the anchor reach.  The key of a byte suffix is its first 16 bytes, then
+a fingerprint of its gram, then the cover; the key of a word suffix is gram and cover.  So an
+array of entries is in byte order as far as 16 bytes tell, and suffixes whose longest common
+prefix reaches a gram are neighbours.
+
+*Run*: the entries of a batch, cut by fingerprint into parts and sorted by key in each block.
+*Merge-scan*: the sorted blocks of a run and of the existing levels are merged part by part, and
+neighbours compared: a common cover settles all windows of both, a common prefix of a gram alone
+leaves them open.  Open windows are verified one by one against the texts.  *Levels*: a run merges
+with every level of its own size, as in a binary counter, equal covers are compacted to one entry,
+and the merged level is written sorted; a level is never changed.
+
+Rows travel as packed blocks of numpy columns; copies inside a block are combined before the
+shuffle, so a passage held by a third of all documents costs one entry for each block.  Keys are
+64-bit hashes of content: gram and cover together have 128 bits, windows are verified by two
+hashes of different bases.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -44,6 +52,24 @@ class Alphabet:
     window: int
     gram: int
 
+    def __post_init__(self) -> None:
+        if not 1 <= self.gram <= self.window < 1 << 15:
+            raise ValueError("a window has 1 to 32767 symbols, a gram no more than its window")
+
+    @property
+    def lead(self) -> int:
+        """Number of key columns that hold the first bytes of a suffix."""
+        return 2 if self.unit == "byte" else 0
+
+    def first_bytes(self, symbols: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
+        """The first 16 bytes of the suffixes (of their grams, if these are shorter) as numbers in byte order."""
+        if not self.lead:
+            return []
+        size = min(16, self.gram)
+        out = np.zeros((len(at), 16), dtype=np.uint8)
+        out[:, :size] = symbols[at[:, None] + np.arange(size)]
+        return list(out.view(">u8").astype(U64).T)
+
     def symbols(self, buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         if self.unit == "byte":
             return buf, offsets
@@ -69,7 +95,7 @@ class Alphabet:
                     yield a, b, at, min(hi, at + PIECE)
 
     def anchors(self, symbols: np.ndarray, offsets: np.ndarray):
-        """Columns (text, first window, further windows, gram hash, cover hash)."""
+        """Columns (text, first window, further windows, first bytes, gram hash, cover hash)."""
         out = []
         for a, b, lo, hi in self.pieces(offsets):
             n = hi - lo
@@ -99,10 +125,10 @@ class Alphabet:
             text = a + np.searchsorted(inner, start, side="right") - 1
             # empty texts share their offset with the next; searchsorted on the right skips them
             # the least hashes crowd at the low end; mixed again they spread over the partitions
-            out.append((text, start + lo - offsets[text], stop - start, vec.mix64(grams[anchor] ^ U64(PIECE)), cover))
+            out.append((text, start + lo - offsets[text], stop - start, *self.first_bytes(sym, anchor), vec.mix64(grams[anchor] ^ U64(PIECE)), cover))
         if not out:
             z = np.zeros(0, np.int64)
-            return z, z, z, z.astype(U64), z.astype(U64)
+            return (z, z, z, *[z.astype(U64)] * (self.lead + 2))
         return tuple(np.concatenate(c) for c in zip(*out))
 
     def window_hashes(self, symbols: np.ndarray, start: np.ndarray, count: np.ndarray):
@@ -122,21 +148,19 @@ class Alphabet:
         return place, h1, h2
 
 
-def _blocks(kind: int, part: np.ndarray, columns: list[np.ndarray]):
-    """One packed block for each target partition."""
+def _blocks(kind: int, part: np.ndarray, columns: list[np.ndarray], limit: int = 1 << 17):
+    """Packed blocks of at most ``limit`` rows for each target partition, rows in the given order."""
     order = np.argsort(part, kind="stable")
     part = part[order]
     b = vec.bounds_of(part)
     if len(b) < 2:
         return
-    kinds, parts, sizes, blocks = [], [], [], []
     columns = [c[order] for c in columns]
-    for lo, hi in zip(b[:-1], b[1:]):
-        kinds.append(kind)
-        parts.append(int(part[lo]))
-        sizes.append(int(hi - lo))
-        blocks.append(vec.pack(*[c[lo:hi] for c in columns]))
-    yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.int32()), pa.array(parts, pa.int32()), pa.array(sizes, pa.int64()), pa.array(blocks, pa.binary())], names=["kind", "part", "n", "block"])
+    cuts = [(lo, min(lo + limit, hi)) for first, hi in zip(b[:-1], b[1:]) for lo in range(first, hi, limit)]
+    for at in range(0, len(cuts), 64):
+        own = cuts[at : at + 64]
+        arrays = [pa.array([kind] * len(own), pa.int32()), pa.array([int(part[lo]) for lo, _ in own], pa.int32()), pa.array([int(hi - lo) for lo, hi in own], pa.int64()), pa.array([vec.pack(*[c[lo:hi] for c in columns]) for lo, hi in own], pa.binary())]
+        yield pa.RecordBatch.from_arrays(arrays, names=["kind", "part", "n", "block"])
 
 
 def _ranged(h: np.ndarray, n: int) -> np.ndarray:
@@ -148,60 +172,71 @@ def _columns(found: list[bytes], k: int) -> np.ndarray:
     return np.concatenate([vec.unpack(x) for x in found], axis=1) if found else np.zeros((k, 0), U64)
 
 
+def _key_order(key: list[np.ndarray]) -> np.ndarray:
+    """Stable order by the columns of ``key`` in turn.  The columns become strings of bytes, whose
+    stable sort in numpy merges the sorted stretches that it finds: sorted blocks laid end to end are
+    merged, not sorted anew."""
+    rows = np.ascontiguousarray(np.stack(key, axis=1).astype(">u8"))
+    return np.argsort(rows.view(f"S{8 * len(key)}")[:, 0], kind="stable")
+
+
 def make_run(docs: DataFrame, alphabet: Alphabet, n: int) -> DataFrame:
-    """Blocks of the anchors of ``docs`` (__rk, __text); anchors that recur inside a block of texts
-    are settled at once and leave one entry."""
+    """Sorted blocks of the entries of ``docs`` (__rk, __text); covers that recur inside a block of
+    texts are settled at once and leave one entry."""
 
     def run(batches):
         for batch in batches:
             rk = batch.column(0).to_numpy(zero_copy_only=False).view(U64)
             buf, offsets = vec.text_buffer(batch.column(1))
-            text, start, more, gram, cover = alphabet.anchors(*alphabet.symbols(buf, offsets))
-            order = np.lexsort((cover, gram))
-            text, start, more, gram, cover = (c[order] for c in (text, start, more, gram, cover))
-            b = vec.bounds_of(gram, cover)
+            text, start, more, *key = alphabet.anchors(*alphabet.symbols(buf, offsets))
+            order = np.lexsort(key[::-1])
+            text, start, more, *key = (c[order] for c in (text, start, more, *key))
+            b = vec.bounds_of(*key[-2:])
             size = np.diff(b)
             again = np.repeat(size > 1, size)
             first = b[:-1]
             place = (start.astype(U64) << U64(16)) | (more.astype(U64) << U64(1))
             yield from _blocks(SETTLED, (rk[text[again]] % U64(n)).astype(np.int64), [rk[text[again]], place[again]])
-            # entries in the order of the texts compress best
-            first = first[np.argsort(text[first], kind="stable")]
             entry = place[first] | again[first].astype(U64)
-            yield from _blocks(ANCHOR, _ranged(gram[first], n), [gram[first], cover[first], rk[text[first]], entry])
+            yield from _blocks(ANCHOR, _ranged(key[-2][first], n), [*(c[first] for c in key), rk[text[first]], entry])
 
     return docs.mapInArrow(run, BLOCKS)
 
 
-def merge_scan(blocks: DataFrame, n: int, absorb_below: int, keep_level: bool) -> DataFrame:
-    """Meet all entries of a partition in gram order.
+def merge_scan(blocks: DataFrame, alphabet: Alphabet, n: int, absorb_below: int, keep_level: bool) -> DataFrame:
+    """Merge all sorted blocks of a part and compare neighbours.
 
     ``kind`` is ANCHOR for the new run and LEVEL + i for level i.  Yields settled ranges, unsure ones
     with a partner for each other cover of their gram, and the merged level made of the new run and
-    the levels from ``absorb_below`` on.
+    the levels from ``absorb_below`` on, sorted.
     """
+    wide = alphabet.lead + 4
 
     def run(batches):
-        got: dict[int, list[bytes]] = {}
+        got: list[bytes] = []
+        kinds: list[tuple[int, int]] = []
         for batch in batches:
             for kind, part, size, block in zip(*(batch.column(i).to_pylist() for i in range(4))):
                 if kind == SETTLED:
                     yield pa.RecordBatch.from_arrays([pa.array([kind], pa.int32()), pa.array([part], pa.int32()), pa.array([size], pa.int64()), pa.array([block], pa.binary())], names=["kind", "part", "n", "block"])
                 else:
-                    got.setdefault(kind, []).append(block)
+                    got.append(block)
+                    kinds.append((kind, size))
         if not got:
             return
-        columns = {k: _columns(v, 4) for k, v in got.items()}
-        origin = np.concatenate([np.full(c.shape[1], k) for k, c in columns.items()])
-        gram, cover, rk, place = np.concatenate(list(columns.values()), axis=1)
-        order = np.lexsort((cover, gram))
-        gram, cover, rk, place, origin = gram[order], cover[order], rk[order], place[order], origin[order]
-        same = vec.bounds_of(gram, cover)
+        columns = _columns(got, wide)
+        origin = np.repeat([k for k, _ in kinds], [s for _, s in kinds])
+        got.clear()
+        order = _key_order(list(columns[:-2]))
+        columns, origin = columns[:, order], origin[order]
+        gram, cover, rk, place = columns[-4:]
+        # neighbours with a common prefix of a gram, and those with a common cover
+        of_gram = vec.bounds_of(*columns[:-3])
+        same = vec.bounds_of(*columns[:-2])
         size = np.diff(same)
         done = (place & U64(1)).astype(bool)
         weight = np.add.reduceat(1 + done, same[:-1])
         again = np.repeat(weight > 1, size)
-        of_gram = vec.bounds_of(gram)
         fresh = np.repeat(np.logical_or.reduceat(origin == ANCHOR, of_gram[:-1]), np.diff(of_gram))
         settled = again & ~done & fresh
         yield from _blocks(SETTLED, (rk[settled] % U64(n)).astype(np.int64), [rk[settled], place[settled]])
@@ -217,10 +252,9 @@ def merge_scan(blocks: DataFrame, n: int, absorb_below: int, keep_level: bool) -
         yield from _blocks(UNSURE, (rk[ask] % U64(n)).astype(np.int64), [rk[ask], flagged])
         if keep_level:
             own = (origin == ANCHOR) | (origin >= LEVEL + absorb_below)
-            own_first = own & (np.cumsum(own) - np.repeat(np.cumsum(own)[same[:-1]] - own[same[:-1]], size) == 1)
+            keep = own & (np.cumsum(own) - np.repeat(np.cumsum(own)[same[:-1]] - own[same[:-1]], size) == 1)
             entry = (place & ~U64(1)) | again.astype(U64)
-            keep = own_first
-            yield from _blocks(LEVEL, _ranged(gram[keep], n), [gram[keep], cover[keep], rk[keep], entry[keep]])
+            yield from _blocks(LEVEL, _ranged(gram[keep], n), [*columns[:-1, keep], entry[keep]])
 
     return blocks.repartitionById(n, F.col("part")).mapInArrow(run, BLOCKS)
 
@@ -269,7 +303,10 @@ def _read(batches, k: int):
 
 
 def verify_windows(unsure: DataFrame, texts: DataFrame, alphabet: Alphabet, n: int) -> DataFrame:
-    """Settled single windows among the unsure ranges, by two hashes of their whole text."""
+    """Settled single windows among the unsure ranges, by two hashes of their whole text.
+
+    Windows that recur among those a task holds are settled at once and go on as one.
+    """
     limit = 1 << 19
 
     def hash_windows(batches):
@@ -278,7 +315,14 @@ def verify_windows(unsure: DataFrame, texts: DataFrame, alphabet: Alphabet, n: i
 
         def flush():
             h1, h2, rk, place = (np.concatenate(c) for c in zip(*held))
-            yield from _blocks(UNSURE, _ranged(h1, n), [h1, h2, rk, place])
+            order = np.lexsort((place, rk, h2, h1))
+            h1, h2, rk, place = h1[order], h2[order], rk[order], place[order]
+            b = vec.bounds_of(h1, h2)
+            many = np.repeat(np.diff(b) > 1, np.diff(b))
+            hit = many & ((place & U64(1)) == 0)
+            yield from _blocks(SETTLED, (rk[hit] % U64(n)).astype(np.int64), [rk[hit], place[hit]])
+            first = b[:-1]
+            yield from _blocks(UNSURE, _ranged(h1[first], n), [h1[first], h2[first], rk[first], place[first] | many[first].astype(U64)])
 
         for table, rows in _read(batches, 2):
             rk = rows.column(0).to_numpy(zero_copy_only=False).view(U64)
@@ -297,14 +341,20 @@ def verify_windows(unsure: DataFrame, texts: DataFrame, alphabet: Alphabet, n: i
                         at, h1, h2 = alphabet.window_hashes(own, (p >> U64(16)).astype(np.int64), ((p >> U64(1)) & U64(0x7FFF)).astype(np.int64) + 1)
                         held.append((h1, h2, np.full(len(at), rk[i]), (at.astype(U64) << U64(16)) | U64(partner)))
                         size += len(at)
-            if size > limit:
-                yield from flush()
-                held, size = [], 0
+                if size > limit:
+                    yield from flush()
+                    held, size = [], 0
         if held:
             yield from flush()
 
     def meet(batches):
-        found = [x for batch in batches for x in batch.column(3).to_pylist()]
+        found = []
+        for batch in batches:
+            for kind, part, size, block in zip(*(batch.column(i).to_pylist() for i in range(4))):
+                if kind == SETTLED:
+                    yield pa.RecordBatch.from_arrays([pa.array([kind], pa.int32()), pa.array([part], pa.int32()), pa.array([size], pa.int64()), pa.array([block], pa.binary())], names=["kind", "part", "n", "block"])
+                else:
+                    found.append(block)
         if not found:
             return
         h1, h2, rk, place = _columns(found, 4)
@@ -319,48 +369,39 @@ def verify_windows(unsure: DataFrame, texts: DataFrame, alphabet: Alphabet, n: i
 
 
 class RepeatIndex:
-    """Levels of sorted entries in the shared folder; ``add`` indexes a batch and returns what it repeats.
-
-    ``corpus`` of ``add`` must hold the texts of every batch so far: open cases are verified on them.
-    """
+    """Levels of sorted entries in the shared folder; ``scan`` indexes a batch and finds what it repeats."""
 
     def __init__(self, spark: SparkSession, alphabet: Alphabet, n: int | None = None):
         self.spark, self.alphabet, self.n = spark, alphabet, n or partitions(spark)
-        self.levels: list[tuple[int | DataFrame, DataFrame]] = []  # (rows, or a batch to count; entries); sizes fall
-
-    def _size(self, i: int) -> int:
-        rows, level = self.levels[i]
-        if not isinstance(rows, int):
-            rows = rows.count()
-            self.levels[i] = (rows, level)
-        return rows
+        self.levels: list[tuple[int, DataFrame]] = []  # (rows, entries); sizes fall
 
-    def add(self, batch: DataFrame, corpus: DataFrame, *, keep_level: bool = True) -> DataFrame:
-        """Settled ranges (blocks) of the new rows against all, and of old rows against the new.
+    def scan(self, batch: DataFrame, *, rows: int | None = None, keep_level: bool = True) -> tuple[DataFrame, DataFrame]:
+        """(settled, unsure) ranges of the new rows against all, and of old rows against the new.
 
-        ``batch`` and ``corpus`` have __rk and __text.
+        ``batch`` has __rk and __text, ``rows`` is its size where that is known.
         """
-        n = self.n
-        run = make_run(batch.select("__rk", "__text"), self.alphabet, n)
+        run = make_run(batch.select("__rk", "__text"), self.alphabet, self.n)
         blocks = run
         for i, (_, level) in enumerate(self.levels):
             blocks = blocks.unionByName(level.withColumn("kind", F.lit(LEVEL + i)))
-        absorb, rows = len(self.levels), None
-        if keep_level and self.levels:
-            # a level is absorbed unless it is over twice what stands below it with the new run
-            rows = batch.count()
-            while absorb and self._size(absorb - 1) <= 2 * rows:
-                absorb -= 1
-                rows += self._size(absorb)
-        scanned = materialise(merge_scan(blocks, n, absorb, keep_level), "repeats-scan")
-        settled = scanned.where(F.col("kind") == SETTLED)
-        unsure = scanned.where(F.col("kind") == UNSURE)
-        texts = text_blocks(corpus, n, [])
-        verified = materialise(verify_windows(unsure, texts, self.alphabet, n), "repeats-verified")
+        absorb = len(self.levels)
+        rows = batch.count() if rows is None else rows
+        while keep_level and absorb and self.levels[absorb - 1][0] <= 1.5 * rows:
+            absorb -= 1
+            rows += self.levels[absorb][0]
+        scanned = materialise(merge_scan(blocks, self.alphabet, self.n, absorb, keep_level), "repeats-scan")
         if keep_level:
-            level = scanned.where(F.col("kind") == LEVEL)
-            self.levels = self.levels[:absorb] + [(batch if rows is None else rows, level)]
-        return settled.unionByName(verified)
+            self.levels = [*self.levels[:absorb], (rows, scanned.where(F.col("kind") == LEVEL))]
+        return scanned.where(F.col("kind") == SETTLED), scanned.where(F.col("kind") == UNSURE)
+
+    def verify(self, unsure: DataFrame, corpus: DataFrame) -> DataFrame:
+        """Settled windows of the unsure ranges; ``corpus`` must hold the texts of every batch so far."""
+        return materialise(verify_windows(unsure, text_blocks(corpus, self.n, []), self.alphabet, self.n), "repeats-verified")
+
+    def add(self, batch: DataFrame, corpus: DataFrame, *, rows: int | None = None, keep_level: bool = True) -> DataFrame:
+        """Everything that ``batch`` repeats or makes repeated, verified."""
+        settled, unsure = self.scan(batch, rows=rows, keep_level=keep_level)
+        return settled.unionByName(self.verify(unsure, corpus))
 
 
 def covered(docs: DataFrame, settled: DataFrame, alphabet: Alphabet, keep: list[str], n: int) -> DataFrame:
@@ -405,21 +446,29 @@ def covered(docs: DataFrame, settled: DataFrame, alphabet: Alphabet, keep: list[
     return _with_texts(settled, text_blocks(docs, n, keep), n).mapInArrow(run, schema)
 
 
-def remove_repeats(docs: DataFrame, alphabet: Alphabet, *, text: str = "text", keep: list[str], batches: int = 2) -> DataFrame:
+def remove_repeats(docs: DataFrame, alphabet: Alphabet, *, text: str = "text", keep: list[str], batches: int = 4, part_bytes: int = 1 << 28) -> DataFrame:
     """Index ``docs`` in ``batches`` and drop every symbol that a repeated window covers.
 
     One row for each input row: ``keep`` columns, n_units, n_removed, spans (in symbols), kept.
     Null and empty texts give no units; repeated rows repeat each other; texts shorter than a window
-    stay whole; an empty table gives an empty result; other columns are ignored.
+    stay whole, very long ones are read in overlapping pieces; an empty table gives an empty result;
+    other columns are ignored.
+
+    The batches are dealt by a hash of the row; with four of them the second run merges with the first
+    and the last is scanned against two levels.  Open windows of all batches are verified together, so
+    texts are shuffled twice.  There is a part for each ``part_bytes`` of text, and no fewer than
+    shuffle partitions.
     """
     spark = docs.sparkSession
     cols = [F.col(c).alias(c) for c in keep]
     rows = docs.select(row_key(*dict.fromkeys([*keep, text])).alias("__rk"), F.coalesce(F.col(text), F.lit("")).alias("__text"), *cols)
-    index = RepeatIndex(spark, alphabet)
-    settled = None
+    size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    index = RepeatIndex(spark, alphabet, max(partitions(spark), size // part_bytes))
+    settled, unsure = [], []
     for b in range(batches):
         own = rows.where(F.pmod(F.shiftrightunsigned("__rk", 32), F.lit(batches)) == b)
-        sofar = rows.where(F.pmod(F.shiftrightunsigned("__rk", 32), F.lit(batches)) <= b)
-        found = index.add(own, sofar, keep_level=b < batches - 1)
-        settled = found if settled is None else settled.unionByName(found)
-    return covered(rows, settled, alphabet, keep, index.n)
+        found = index.scan(own, rows=1, keep_level=b < batches - 1)
+        settled.append(found[0])
+        unsure.append(found[1])
+    verified = index.verify(reduce(DataFrame.unionByName, unsure), rows)
+    return covered(rows, reduce(DataFrame.unionByName, [*settled, verified]), alphabet, keep, index.n)

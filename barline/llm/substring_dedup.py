@@ -1,9 +1,10 @@
 """Suffix-array deduplication of byte strings, on a logarithmic family of indexes.
 
 A level is a sparse suffix array: of all suffixes, those that start at an anchor (see
-``repeats``), in the order of a hash of their first 100 bytes, so that suffixes with a long
-common prefix are neighbours.  A new batch gets its own array, is merge-scanned against the
-levels for common strings of ``length`` bytes, and equal-sized levels merge.
+``repeats``), in the order of their first 16 bytes and, where these are equal, of a fingerprint of
+their first ``length`` / 2 bytes, so that suffixes with a common prefix of that length are
+neighbours.  A new batch gets its own array, is merge-scanned against the levels for common strings
+of ``length`` bytes, and equal-sized levels merge.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ def alphabet(length: int = 200) -> Alphabet:
     return Alphabet("byte", length, max(1, length // 2))
 
 
-def dedup(docs: DataFrame, *, length: int = 200, key: str = "doc_id", text: str = "text", batches: int = 2) -> DataFrame:
+def dedup(docs: DataFrame, *, length: int = 200, key: str = "doc_id", text: str = "text", batches: int = 4) -> DataFrame:
     """(key, n_bytes, n_removed, spans, kept): bytes left when every byte of a repeated string of
     ``length`` bytes goes.  Nulls, empty texts and repeated rows: see ``remove_repeats``."""
     out = remove_repeats(docs, alphabet(length), text=text, keep=[key], batches=batches)

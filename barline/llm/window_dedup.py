@@ -17,7 +17,7 @@ def alphabet(length: int = 35) -> Alphabet:
     return Alphabet("word", length, max(1, (length + 1) // 2))
 
 
-def dedup(docs: DataFrame, *, length: int = 35, key: str = "doc_id", text: str = "text", batches: int = 2) -> DataFrame:
+def dedup(docs: DataFrame, *, length: int = 35, key: str = "doc_id", text: str = "text", batches: int = 4) -> DataFrame:
     """(key, n_words, n_removed, spans, kept): words left, joined by blanks, when every word of a
     repeated window of ``length`` words goes.  Edge cases: see ``remove_repeats``."""
     out = remove_repeats(docs, alphabet(length), text=text, keep=[key], batches=batches)

@@ -67,11 +67,46 @@ def test_pieces_of_a_very_long_text(spark, monkeypatch):
     rng = np.random.default_rng(0)
     text = rng.integers(0, 4, 5000).astype(np.uint8)
     a = repeats.Alphabet("byte", 20, 10)
-    _, start, more, _, _ = a.anchors(text, np.array([0, len(text)]))
+    _, start, more, *_ = a.anchors(text, np.array([0, len(text)]))
     places = sorted(p for s, m in zip(start, more) for p in range(s, s + m + 1))
     assert places == list(range(5000 - 20 + 1))
 
 
+def test_registered_batches_merge_levels_in_byte_order(spark, monkeypatch):
+    """The second of the four batches merges with the first; a level is sorted by the bytes of its
+    suffixes and agrees with the texts."""
+    import numpy as np
+
+    from barline.llm import repeats, vec
+
+    ship(spark)
+    seen = []
+    scan = repeats.RepeatIndex.scan
+
+    def spy(self, *args, **options):
+        out = scan(self, *args, **options)
+        seen.append((self, [n for n, _ in self.levels]))
+        return out
+
+    monkeypatch.setattr(repeats.RepeatIndex, "scan", spy)
+    docs = frame(spark, corpus(20))
+    substring_dedup.dedup(docs, length=20)
+    assert [sizes for _, sizes in seen] == [[1], [2], [2, 1], [2, 1]]
+    texts = {(t or "").encode() for _, t in corpus(20)}
+    for part in seen[-1][0].levels[0][1].groupBy("part").agg({"block": "collect_list"}).collect():
+        for block in part[1]:
+            first = vec.unpack(block)[0].astype(">u8").view("S8")
+            assert np.all(first[:-1] <= first[1:])
+            assert all(any(x in t for t in texts) for x in first[:50].tolist())
+
+
+def test_windows_beyond_the_packed_place_are_refused():
+    from barline.llm.repeats import Alphabet
+
+    with pytest.raises(ValueError, match="32767"):
+        Alphabet("byte", 1 << 15, 100)
+
+
 def test_contract_columns(spark):
     ship(spark)
     docs = spark.createDataFrame([(1, "w " * 40), (2, None)], "doc_id long, text string")
