@@ -123,26 +123,42 @@ def brute_vectors(rows):
     return collections.Counter((r[0], links[i], least[find(parent, i)]) for i, r in enumerate(rows))
 
 
-@pytest.mark.parametrize("dim", [16, 64, 256])
-def test_planted_pairs_share_a_filter(dim):
+@pytest.mark.parametrize(("dim", "n"), [(16, 1000), (64, 1000), (256, 1000), (64, 10**5), (256, 10**6)])
+def test_planted_pairs_share_a_filter(dim, n):
+    size = cap_filters.code_size(n)
     rng = np.random.default_rng(dim)
     a, z = rng.normal(size=(2, 5000, dim))
     a /= np.linalg.norm(a, axis=1, keepdims=True)
     z -= (z * a).sum(axis=1, keepdims=True) * a
     b = 0.93 * a + np.sqrt(1 - 0.93**2) * z / np.linalg.norm(z, axis=1, keepdims=True)
-    one, two = cap_filters.decode(a), cap_filters.decode(b)
+    one, two = cap_filters.decode(a, *size), cap_filters.decode(b, *size)
     assert min(map(len, one)) > 0
     assert sum(not set(x) & set(y) for x, y in zip(one, two)) == 0
+    assert (np.bitwise_count(cap_filters.sketch(a) ^ cap_filters.sketch(b)).sum(axis=1) <= cap_filters.most_signs(0.93)).all()
 
 
-@pytest.mark.parametrize("cut", [2048, 3])
-def test_vectors_match_brute_force(spark, cut):
+def test_unrelated_vectors_meet_less_often_the_more_there_are():
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(1000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    shares = []
+    for n in (2_000, 50_000, 1_000_000):
+        f = np.array(cap_filters.decode(x, *cap_filters.code_size(n)))
+        met = np.mean([bool(np.intersect1d(f[i], f[i + 1]).size) for i in range(0, 1000, 2)])
+        shares.append(met)
+    assert shares[0] > 3 * shares[1] and shares[1] > 3 * shares[2]
+
+
+@pytest.mark.parametrize(("cut", "dim", "size"), [(2048, 16, None), (3, 16, None), (2048, 64, (128, 3)), (3, 64, (256, 3))])
+def test_vectors_match_brute_force(spark, monkeypatch, cut, dim, size):
     ship(spark)
+    if size:
+        monkeypatch.setattr(cap_filters, "code_size", lambda n: size)
     rng = np.random.default_rng(1)
     rows = []
     for g in range(12):
-        middle = rng.normal(size=16)
-        rows += [(len(rows) + k, g % 3 if g else None, [float(x) for x in np.float32(middle + rng.normal(size=16) * 0.25)]) for k in range(10)]
+        middle = rng.normal(size=dim)
+        rows += [(len(rows) + k, g % 3 if g else None, [float(x) for x in np.float32(middle + rng.normal(size=dim) * 0.25)]) for k in range(10)]
     rows += [(500, 1, None), (501, 1, []), (502, 1, [0.0] * 16), (503, 1, [None] + [1.0] * 15), (504, 1, [float("nan")] * 16), (505, 1, [float("inf")] + [1.0] * 15)]
     rows += [(506, 1, [1.0, 2.0]), (507, 1, [1.0, 2.0]), (20, rows[20][1], rows[20][2]), (508, 2, [3.0])]
     df = spark.createDataFrame([(a, b, c, 7) for a, b, c in rows], "vec_id long, label int, embedding array<float>, cid int")
