@@ -1,9 +1,13 @@
 """Language-model scoring by cross-entropy difference.
 
 Two word-bigram models of the same form share one vocabulary: the target model counts the
-chosen documents, the background model counts all documents.  A bigram falls back on its word by
-``c(h) / (c(h) + backoff)``; words are smoothed over the vocabulary.  A document's score is the mean
-over its tokens of the difference between the two losses: below zero it is nearer the target.
+chosen documents, the background model counts all others.  The models are matched in size: the
+counts of the larger are scaled to the tokens of the smaller, which is what a sample of equal size
+would hold on average, so that smoothing weighs alike in both and no document is left out.  A bigram
+falls back on its word by ``c(h) / (c(h) + backoff)``; words are smoothed over the vocabulary.  A
+document that was counted is scored by the models of all others: its own counts are taken out
+first.  Its score is the mean over its tokens of the difference between the two losses: below zero
+it is nearer the target.
 
 Counts cover every token of every document and are exact: a word, a history and a bigram are
 each a key of their own (62 bits of hash and the kind).  Documents are packed into chunks.  A chunk
@@ -35,10 +39,9 @@ RANGE, CHUNK = 1 << 24, 1 << 23
 @dataclass(frozen=True)
 class Shape:
     """The vocabulary that smoothing spreads over has 2**word_bits places, or as many as there are
-    distinct words if these are more.  ``pair_bits`` has no effect: bigrams have exact counts."""
+    distinct words if these are more."""
 
     word_bits: int = 18
-    pair_bits: int = 22
     backoff: float = 8.0
     smoothing: float = 0.5
 
@@ -216,10 +219,22 @@ def _totals(table: DataFrame, shape: Shape) -> tuple[tuple[int, int], int]:
     return (total, target), max(1 << shape.word_bits, words)
 
 
-def losses(packed: DataFrame, told: DataFrame, models: Models, keep: list[str], fields: str) -> DataFrame:
-    """Scores of the documents of each chunk by the sums of its keys."""
+def _within(place: np.ndarray, of: np.ndarray) -> np.ndarray:
+    """How often the document of each token holds the token's key."""
+    code = of * (int(place.max(initial=0)) + 1) + place
+    order = np.argsort(code)
+    edge = vec.bounds_of(code[order])
+    out = np.empty(len(code), dtype=np.int64)
+    out[order] = np.repeat(np.diff(edge), np.diff(edge))
+    return out
+
+
+def losses(packed: DataFrame, told: DataFrame, models: Models, keep: list[str], fields: str, *, counted: bool = True) -> DataFrame:
+    """Scores of the documents of each chunk by the sums of its keys; ``counted`` documents are
+    scored without their own counts."""
     n, shape, vocabulary = len(keep), models.shape, models.vocabulary
-    totals = models.totals[::-1]  # target, background
+    totals = models.totals[1], models.totals[0] - models.totals[1]  # target, background
+    scale = [min(totals) / t if t else 0.0 for t in totals]
 
     def run(batches):
         held, last = [], None
@@ -237,10 +252,13 @@ def losses(packed: DataFrame, told: DataFrame, models: Models, keep: list[str],
                     c = vec.unpack(b).view(np.int64)
                     counts[:, a : a + c.shape[1]] = c
                 held = []
+                counts[0] -= counts[1]
                 of, mean = np.repeat(np.arange(len(size)), size), np.zeros((2, len(size)))
+                own = [_within(p, of) if counted else 0 for p in place]
                 for k in (0, 1):
-                    word, history, pair = counts[1 - k][place]
-                    p = (word + shape.smoothing) / (totals[k] + shape.smoothing * vocabulary)
+                    mine = (chosen if k == 0 else ~chosen) if counted else 0
+                    word, history, pair = ((counts[1 - k][p] - mine * o) * scale[k] for p, o in zip(place, own))
+                    p = (word + shape.smoothing) / ((totals[k] - mine * size[of]) * scale[k] + shape.smoothing * vocabulary)
                     loss = -np.log((pair + shape.backoff * p) / (history + shape.backoff))
                     mean[k] = np.bincount(of, weights=loss, minlength=len(size)) / np.maximum(size, 1)
                 none = size == 0
@@ -259,12 +277,14 @@ def _fields(docs: DataFrame, keep: list[str]) -> str:
 def score(docs: DataFrame, models: Models, *, keep: list[str], text: str = "text") -> DataFrame:
     """``keep`` columns, n_tokens, ce_target, ce_background and their difference ``score``.
 
-    Texts that are null or have no words have 0 tokens and null scores; repeated rows give repeated
-    results; an empty table gives an empty result.
+    ``docs`` are taken for documents that the models did not count.  Texts that are null or have no
+    words have 0 tokens and null scores; long texts are read whole; repeated rows give repeated
+    results; an empty table gives an empty result; without any target or any other document both
+    models are uniform and scores 0; columns not in ``keep`` are ignored.
     """
     packed = chunks(docs.select(*keep, F.col(text).alias("__text"), F.lit(False).alias("__target")), keep)
     told = models.table.select("part", "chunk", "at", "block").unionByName(ask(packed, models.ranges, counted=False))
-    return losses(packed, sums(told, models.ranges, answer=True), models, keep, _fields(docs, keep))
+    return losses(packed, sums(told, models.ranges, answer=True), models, keep, _fields(docs, keep), counted=False)
 
 
 def _marked(docs: DataFrame, target_ids: DataFrame, key: str, text: str, broadcast_rows: int) -> tuple[DataFrame, int]:
@@ -285,7 +305,8 @@ def fit(docs: DataFrame, target_ids: DataFrame, *, key: str = "doc_id", text: st
 
 
 def fit_score(docs: DataFrame, target_ids: DataFrame, *, key: str = "doc_id", text: str = "text", shape: Shape = Shape(), broadcast_rows: int = 200_000) -> DataFrame:
-    """``score`` by the models of ``fit`` on the same documents, whose keys travel once."""
+    """As ``score`` by the models of ``fit`` on the same documents, each without its own counts; keys
+    travel once.  Repeated rows count for each other."""
     rows, ranges = _marked(docs, target_ids, key, text, broadcast_rows)
     packed = chunks(rows, [key])
     told = sums(ask(packed, ranges), ranges, answer=True)
@@ -293,5 +314,5 @@ def fit_score(docs: DataFrame, target_ids: DataFrame, *, key: str = "doc_id", te
 
 
 def op10_lm_score(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Target: documents labelled as of good quality; background: all documents."""
+    """Target: documents labelled as of good quality; background: all others."""
     return fit_score(docs, labels.where("quality = 1").select("doc_id"))

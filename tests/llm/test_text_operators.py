@@ -217,66 +217,82 @@ def test_toxicity_is_learned(spark):
     assert toxicity.op4_toxicity(df.limit(0), lab).count() == 0
 
 
-def test_language_model_scores_match_brute_force(spark):
-    ship(spark)
-    shape = lm_score.Shape(word_bits=16, pair_bits=20)
-    docs = [(0, "a b a c"), (1, "A b b"), (2, "c c\tc a"), (3, None), (4, " "), (1, "A b b")]
-    df = spark.createDataFrame([(i, t, 1) for i, t in docs], "doc_id long, text string, n_tokens int").repartition(3)
-    models = lm_score.fit(df, spark.createDataFrame([(1,), (None,)], "doc_id long"), shape=shape)
-    got = collections.defaultdict(list)
-    for r in lm_score.score(df, models, keep=["doc_id"]).collect():
-        got[r.doc_id].append(r)
+def brute_losses(docs, target, vocabulary, smoothing, backoff, counted):
+    """(target, background) loss of each text with a word by plain counting."""
     texts = [(i, ["<s>", *(t or "").lower().split()]) for i, t in docs]
-    word, hist, pair = ([collections.Counter(), collections.Counter()] for _ in range(3))
+
+    def model(rows):
+        word, hist, pair = collections.Counter(), collections.Counter(), collections.Counter()
+        for w in rows:
+            word.update(w[1:])
+            hist.update(w[:-1])
+            pair.update(zip(w, w[1:]))
+        return word, hist, pair, sum(word.values())
+
+    sides = [[w for i, w in texts if (i in target) == (k == 0)] for k in (0, 1)]
+    size = [sum(len(w) - 1 for w in side) for side in sides]
+    out = []
     for i, w in texts:
-        for k in (0, 1):
-            if k == 1 or i == 1:
-                word[k].update(w[1:])
-                hist[k].update(w[:-1])
-                pair[k].update(zip(w, w[1:]))
+        both = []
+        for k, side in enumerate(sides):
+            rest = list(side)
+            if counted and w in rest and (i in target) == (k == 0):
+                rest.remove(w)
+            word, hist, pair, total = model(rest)
+            r = min(size) / size[k]
+            both.append(np.mean([-math.log((r * pair[h, x] + backoff * (r * word[x] + smoothing) / (r * total + smoothing * vocabulary)) / (r * hist[h] + backoff)) for h, x in zip(w, w[1:])]) if len(w) > 1 else None)
+        out.append((i, len(w) - 1, *both))
+    return out
 
-    def loss(k, h, x):
-        p = (word[k][x] + shape.smoothing) / (sum(word[k].values()) + shape.smoothing * (1 << shape.word_bits))
-        return -math.log((pair[k][h, x] + shape.backoff * p) / (hist[k][h] + shape.backoff))
 
-    for i, w in texts:
-        for r in got[i]:
-            assert r.n_tokens == len(w) - 1
-            if r.n_tokens == 0:
-                assert r.score is None
-                continue
-            ce = [np.mean([loss(k, h, x) for h, x in zip(w, w[1:])]) for k in (0, 1)]
-            assert (r.ce_target, r.ce_background) == pytest.approx(ce, rel=1e-4)
-            assert r.score == pytest.approx(ce[0] - ce[1], abs=1e-3)
-    assert lm_score.score(df.limit(0), models, keep=["doc_id"]).count() == 0
-
-
-def test_language_model_counts_are_exact_at_any_vocabulary(spark):
+@pytest.mark.parametrize("counted", [False, True])
+def test_language_model_scores_match_brute_force(spark, counted):
+    ship(spark)
+    shape = lm_score.Shape(word_bits=16)
+    docs = [(0, "a b a c"), (1, "A b b"), (2, "c c\tc a"), (3, None), (4, " "), (1, "A b b")]
+    df = spark.createDataFrame([(i, t, 1) for i, t in docs], "doc_id long, text string, n_tokens int").repartition(3)
+    ids = spark.createDataFrame([(1,), (None,)], "doc_id long")
+    if counted:
+        out = lm_score.fit_score(df, ids, shape=shape)
+    else:
+        models = lm_score.fit(df, ids, shape=shape)
+        out = lm_score.score(df, models, keep=["doc_id"])
+        assert lm_score.score(df.limit(0), models, keep=["doc_id"]).count() == 0
+    got = sorted(map(tuple, out.collect()))
+    for r, (i, n, a, b) in zip(got, sorted(brute_losses(docs, {1}, 1 << 16, 0.5, 8.0, counted))):
+        assert r[:2] == (i, n)
+        assert r[2:] == ((None,) * 3 if n == 0 else pytest.approx((a, b, a - b), rel=1e-9))
+
+
+@pytest.mark.parametrize("counted", [False, True])
+def test_language_model_counts_are_exact_at_any_vocabulary(spark, counted):
     ship(spark)
     rng = np.random.default_rng(5)
     docs = [(i, " ".join(f"w{x}" for x in rng.integers(0, 300, 40))) for i in range(30)]
     df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
-    ids, shape = spark.createDataFrame([(i,) for i in range(9)], "doc_id long"), lm_score.Shape(word_bits=4, pair_bits=4)
-    models = lm_score.fit(df, ids, shape=shape)
-    texts = [(i, ["<s>", *t.split()]) for i, t in docs]
-    word, hist, pair = ([collections.Counter(), collections.Counter()] for _ in range(3))
-    for i, w in texts:
-        for k in (0, 1):
-            if k == 1 or i < 9:
-                word[k].update(w[1:])
-                hist[k].update(w[:-1])
-                pair[k].update(zip(w, w[1:]))
+    ids, shape = spark.createDataFrame([(i,) for i in range(9)], "doc_id long"), lm_score.Shape(word_bits=4)
+    words = len({x for _, t in docs for x in t.split()})
+    out = lm_score.fit_score(df, ids, shape=shape) if counted else lm_score.score(df, lm_score.fit(df, ids, shape=shape), keep=["doc_id"])
+    got = {r.doc_id: r for r in out.collect()}
+    for i, _, a, b in brute_losses(docs, set(range(9)), words, 0.5, 8.0, counted):
+        assert (got[i].ce_target, got[i].ce_background) == pytest.approx((a, b), rel=1e-9)
 
-    def loss(k, h, x):
-        p = (word[k][x] + 0.5) / (sum(word[k].values()) + 0.5 * len(word[1]))
-        return -math.log((pair[k][h, x] + 8 * p) / (hist[k][h] + 8))
 
-    got = {r.doc_id: r for r in lm_score.score(df, models, keep=["doc_id"]).collect()}
-    for i, w in texts:
-        ce = [np.mean([loss(k, h, x) for h, x in zip(w, w[1:])]) for k in (0, 1)]
-        assert (got[i].ce_target, got[i].ce_background) == pytest.approx(ce, rel=1e-9)
-    once = lm_score.fit_score(df, ids, shape=shape).collect()
-    assert {r.doc_id: tuple(r) for r in once} == {i: pytest.approx(tuple(r)) for i, r in got.items()}
+def test_language_model_tells_documents_that_occur_twice(spark):
+    ship(spark)
+    rng = np.random.default_rng(6)
+    docs = [(i, " ".join(f"w{x}" for x in rng.integers(0, 3000, 40))) for i in range(60)]
+    docs += [(100, docs[50][1]), (101, docs[51][1])]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    out = lm_score.fit_score(df, spark.createDataFrame([(i,) for i in range(9)], "doc_id long"))
+    ranked = [r.doc_id for r in out.orderBy("ce_background").collect()]
+    assert set(ranked[:4]) == {50, 51, 100, 101}
+
+
+def test_language_model_without_a_target_is_uniform(spark):
+    ship(spark)
+    df = spark.createDataFrame([(1, "a b"), (2, "b c")], "doc_id long, text string")
+    assert {r.score for r in lm_score.fit_score(df, df.select("doc_id").limit(0)).collect()} == {0.0}
 
 
 def test_pipeline_keeps_clean_documents(spark, tmp_path):
