@@ -30,22 +30,78 @@ TERM = r"(?<![\p{L}\p{N}_
 _SPAN = "array<struct<kind:int,start:int,end:int,value:string>>"
 
 
-def _spans(text: Column, pattern: str | Column, kind: int) -> Column:
-    """Leftmost non-overlapping matches with code-point bounds: what ``split`` leaves between the
-    matches gives their places."""
+def _let(value: Column, body) -> Column:
+    """``body`` of ``value``, which is evaluated once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _running(values: Column, op, *, step: int = 128) -> Column:
+    """``op`` (sum or greatest of numbers not below 0) over the elements up to each place.  Blocks of
+    ``step`` elements and the blocks' own results keep it near linear in the number of elements."""
+
+    def upto(a: Column, first: Column, count: Column) -> Column:
+        return F.aggregate(F.slice(a, first, count), F.lit(0), op)
+
+    def whole(w: Column) -> Column:
+        last = F.greatest(F.floor((F.size(w) - 1) / step), F.lit(0)).cast("int")
+        blocks = F.transform(F.sequence(F.lit(0), last), lambda b: upto(w, b * step + 1, F.lit(step)))
+        heads = _let(blocks, lambda own: F.transform(own, lambda _, b: upto(own, F.lit(1), b)))
+
+        def place(head: Column) -> Column:
+            return F.transform(w, lambda _, i: op(F.get(head, F.floor(i / step).cast("int")), upto(w, i - i % step + 1, i % step + 1)))
+
+        return _let(heads, place)
+
+    return _let(values, whole)
+
+
+def _matches(text: Column, pattern: str | Column, kind: int) -> Column:
+    """Leftmost non-overlapping matches and the lengths of what ``split`` leaves between them."""
     pattern = F.lit(pattern)
     found = F.regexp_extract_all(text, pattern, F.lit(0))
-    gaps = F.transform(F.split(text, pattern, -1), F.length)
-    start = F.struct(F.lit(0).alias("at"), F.lit(None).cast(_SPAN).alias("out"))
-    merged = F.arrays_zip(found.alias("m"), F.slice(gaps, 1, F.size(found)).alias("g"))
+    return F.struct(F.lit(kind).alias("kind"), found.alias("m"), F.transform(F.split(text, pattern, -1), F.length).alias("g"))
+
+
+def _spans(matches: list[Column]) -> Column:
+    """Spans of all ``matches`` with code-point bounds, which the gaps between them give."""
+
+    def placed(x: Column) -> Column:
+        ends = _running(F.transform(x["m"], lambda m, i: F.length(m) + F.get(x["g"], i)), lambda u, v: u + v)
+
+        def span(m: Column, end: Column) -> Column:
+            return F.struct(x["kind"].alias("kind"), (end - F.length(m)).alias("start"), end.alias("end"), m.alias("value"))
+
+        return _let(ends, lambda e: F.transform(x["m"], lambda m, i: span(m, F.get(e, i))))
 
-    def step(acc: Column, x: Column) -> Column:
-        begin = acc["at"] + x["g"]
-        end = begin + F.length(x["m"])
-        own = F.array(F.struct(F.lit(kind).alias("kind"), begin.alias("start"), end.alias("end"), x["m"].alias("value")))
-        return F.struct(end.alias("at"), F.concat(F.coalesce(acc["out"], F.array().cast(_SPAN)), own).alias("out"))
+    return F.flatten(F.transform(F.array(*matches), placed))
 
-    return F.coalesce(F.aggregate(merged, start, step)["out"], F.array().cast(_SPAN))
+
+def _rewritten(text: Column, spans: Column, by) -> Column:
+    """``text`` with ``by`` (of a span and the end of what is before it) at each of ``spans``, an array of
+    (start, end, ...); what lies between spans stays.  Pieces of the text are read from chunks, so that none
+    is sought from the beginning."""
+    size = 1024
+
+    def piece(chunks: Column, a: Column, b: Column) -> Column:
+        first = F.floor(a / size).cast("int")
+        joined = F.array_join(F.slice(chunks, first + 1, F.floor((b - 1) / size).cast("int") - first + 1), "")
+        return F.when(b > a, F.substring(joined, a - first * size + 1, b - a)).otherwise("")
+
+    def whole(x: Column) -> Column:
+        def joined(reach: Column) -> Column:
+            def before(i: Column) -> Column:
+                return F.coalesce(F.get(reach, i - 1), F.lit(0))
+
+            def part(s: Column, i: Column) -> Column:
+                return F.concat(piece(x["chunks"], before(i), F.greatest(s["start"], before(i))), by(s, before(i)))
+
+            tail = piece(x["chunks"], before(F.size(x["s"])), F.length(x["t"]))
+            return F.concat(F.array_join(F.transform(x["s"], part), ""), tail)
+
+        return _let(_running(F.transform(x["s"], lambda s: s["end"]), lambda u, v: F.greatest(u, v)), joined)
+
+    chunks = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{size}}}"), F.lit(0))
+    return _let(F.struct(F.array_sort(spans).alias("s"), chunks.alias("chunks"), text.alias("t")), whole)
 
 
 def _digits(value: Column) -> Column:
@@ -54,17 +110,22 @@ def _digits(value: Column) -> Column:
 
 def base_spans(text: Column) -> Column:
     """Array of (kind, start, end, value) of the pattern matches that pass, by kind, then start."""
-    none = F.array().cast(_SPAN)
-    email = F.when(F.contains(text, F.lit("@")), _spans(text, EMAIL, 0)).otherwise(none)
-    dotted = F.when(text.rlike(r"[0-9]\.[0-9]"), _spans(text, IP, 1)).otherwise(none)
+    none = F.array().cast("array<string>")
+
+    def where(test: Column, pattern: str, kind: int) -> Column:
+        empty = F.struct(F.lit(kind).alias("kind"), none.alias("m"), F.array().cast("array<int>").alias("g"))
+        return F.when(test, _matches(text, pattern, kind)).otherwise(empty)
 
     def octets(s: Column) -> Column:
         return F.forall(F.split(s["value"], r"\."), lambda p: p.rlike("^0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])$"))
 
-    ip = F.filter(dotted, octets)
-    card = F.when(text.rlike(r"[0-9][\x20-]?[0-9]"), F.filter(_spans(text, CARD, 2), lambda s: F.call_function("luhn_check", _digits(s["value"])))).otherwise(none)
-    phone = F.when(F.contains(text, F.lit("+")), F.filter(_spans(text, PHONE, 3), lambda s: F.length(_digits(s["value"])).between(8, 15))).otherwise(none)
-    return F.concat(email, ip, card, phone)
+    def passes(s: Column) -> Column:
+        luhn = F.call_function("luhn_check", _digits(s["value"]))
+        return F.when(s["kind"] == 1, octets(s)).when(s["kind"] == 2, luhn).when(s["kind"] == 3, F.length(_digits(s["value"])).between(8, 15)).otherwise(True)
+
+    tests = [F.contains(text, F.lit("@")), text.rlike(r"[0-9]\.[0-9]"), text.rlike(r"[0-9][\x20-]?[0-9]"), F.contains(text, F.lit("+"))]
+    found = [where(t, p, k) for k, (t, p) in enumerate(zip(tests, (EMAIL, IP, CARD, PHONE)))]
+    return F.coalesce(F.filter(_spans(found), passes), F.array().cast(_SPAN))
 
 
 def entity(span: Column) -> Column:
@@ -74,14 +135,8 @@ def entity(span: Column) -> Column:
 
 def _masked(text: Column, base: Column) -> Column:
     """``text`` with marks, which no term may touch, in place of the entities."""
-
-    def step(acc: Column, s: Column) -> Column:
-        begin = F.greatest(s["start"], acc["at"])
-        piece = F.concat(acc["out"], F.substring(text, acc["at"] + 1, begin - acc["at"]), F.repeat(F.lit("￿"), s["end"] - begin))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(s["end"] > acc["at"], piece).otherwise(acc["out"]).alias("out"))
-
-    ordered = F.array_sort(F.transform(base, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))))
-    done = F.aggregate(ordered, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text))))
+    spans = F.transform(base, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))
+    done = _rewritten(text, spans, lambda s, at: F.repeat(F.lit("￿"), F.greatest(s["end"] - F.greatest(s["start"], at), F.lit(0))))
     return F.when(F.size(base) == 0, text).otherwise(done)
 
 
@@ -90,16 +145,12 @@ def _words(text: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(text, F.lit(TERM), F.lit(0)))
 
 
-def term_documents(docs: DataFrame, terms: DataFrame, text: str, *, broadcast_rows: int = 50_000) -> DataFrame:
+def term_documents(docs: DataFrame, terms: DataFrame, text: str) -> DataFrame:
     """Number of rows of ``docs`` that hold each of ``terms`` (term): (term, df).
 
-    The words of all texts are counted.  A term list of at most ``broadcast_rows`` rows travels to
-    the words; a longer one meets the counts of all words, pre-aggregated by task.
+    The words of all texts are counted, pre-aggregated by task, before they meet the terms.
     """
-    n = terms.count()
     words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(F.col(text)), F.lit(TERM), F.lit(0)))).alias("term"))
-    if n <= broadcast_rows:
-        return words.join(F.broadcast(terms), "term").groupBy("term").agg(F.count("*").alias("df"))
     return words.groupBy("term").agg(F.count("*").alias("df")).join(terms, "term")
 
 
@@ -137,7 +188,7 @@ def term_places(rows: DataFrame, told: DataFrame, *, broadcast_rows: int = 500_0
     forms = forms.groupBy("__rk").agg(F.collect_set("form").alias("forms"), F.collect_set(F.when(F.col("remove"), F.col("form"))).alias("gone"))
     texts = rows.join(forms, "__rk").withColumn("found", _masked(F.col("__text"), base_spans(F.col("__text"))))
     pattern = F.concat(F.lit(r"(?<![\p{L}\p{N}_￿])(?:"), F.array_join("forms", "|"), F.lit(r")(?![\p{L}\p{N}_￿])"))
-    places = F.transform(_spans(F.col("found"), pattern, 4), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.array_contains("gone", s["value"]).alias("remove")))
+    places = F.transform(_spans([_matches(F.col("found"), pattern, 4)]), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.array_contains("gone", s["value"]).alias("remove")))
     return texts.select("__rk", places.alias("terms")).groupBy("__rk").agg(F.first("terms").alias("terms"))
 
 
@@ -145,8 +196,9 @@ def find(docs: DataFrame, *, text: str = "text", key: str = "doc_id", min_suppor
     """All spans of each row: (key, __rk, base array, terms array).
 
     Null texts are empty; texts without a match have empty arrays; repeated rows get equal spans
-    (they count as documents of their own in the statistics); an empty table gives an empty
-    result.  ``__rk`` identifies the row's content.
+    (they count as documents of their own in the statistics); of matches that start together all are
+    given; long texts are read whole, in time nearly linear in their matches; an empty table gives an
+    empty result; columns but ``key`` and ``text`` are ignored.  ``__rk`` identifies the row's content.
     """
     rows = docs.select(F.col(key).alias(key), row_key(key, text).alias("__rk"), F.coalesce(F.col(text), F.lit("")).alias("__text"))
     base = rows.withColumn("base", base_spans(F.col("__text")))
@@ -168,13 +220,7 @@ def sanitise(docs: DataFrame, *, text: str = "text", key: str = "doc_id", **thre
     spans = found.groupBy("__rk").agg(F.first(F.array_sort(F.concat(entity_spans, term_spans))).alias("__spans"))
     joined = docs.withColumn("__rk", row_key(key, text)).join(spans, "__rk", "left")
     t = F.col(text)
-
-    def step(acc: Column, s: Column) -> Column:
-        fresh = s["start"] >= acc["at"]
-        piece = F.concat(acc["out"], F.substring(t, acc["at"] + 1, s["start"] - acc["at"]), s["by"])
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(fresh, piece).otherwise(acc["out"]).alias("out"))
-
-    done = F.aggregate("__spans", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda a: F.concat(a["out"], F.substring(t, a["at"] + 1, F.length(t))))
+    done = _rewritten(t, F.col("__spans"), lambda s, at: F.when(s["start"] >= at, s["by"]).otherwise(""))
     clean = F.when(F.col("__spans").isNull(), t).otherwise(done)
     return joined.withColumn(text, clean).select(*docs.columns)
 
@@ -189,5 +235,6 @@ def op3_pii(docs: DataFrame) -> DataFrame:
 
     base = F.transform("base", written)
     more = F.transform("terms", lambda s: F.concat_ws(":", F.lit("term"), s["start"].cast("string"), s["end"].cast("string")))
-    count = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{KINDS[k]}") for k in range(4)]
+    kinds = F.transform("base", lambda s: s["kind"])
+    count = [F.size(F.array_remove(F.transform(kinds, lambda x: (x == k).cast("int")), 0)).cast("long").alias(f"n_{KINDS[k]}") for k in range(4)]
     return found.select("doc_id", *count, F.sha2(F.concat_ws(",", base).cast("binary"), 256).alias("base_sha256"), F.concat_ws(",", F.concat(base, more)).alias("spans"))

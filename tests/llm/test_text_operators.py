@@ -43,7 +43,10 @@ def base(t):
 def test_pii_patterns_match_brute_force(spark):
     df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(ODD)], "doc_id long, text string, base string")
     for r in pii.op3_pii(df).collect():
-        assert r.base_sha256 == hashlib.sha256(base(ODD[r.doc_id]).encode()).hexdigest(), ODD[r.doc_id]
+        want = base(ODD[r.doc_id])
+        assert r.base_sha256 == hashlib.sha256(want.encode()).hexdigest(), ODD[r.doc_id]
+        kinds = collections.Counter(x.split(":")[0] for x in want.split(",") if x)
+        assert (r.n_email, r.n_ip, r.n_card, r.n_phone) == tuple(kinds[k] for k in ("email", "ip", "card", "phone"))
     assert pii.op3_pii(df.limit(0)).count() == 0
 
 
@@ -79,11 +82,44 @@ def test_pii_hot_entity_with_the_defaults(spark):
     assert {out[i] for i in range(100, 300)} == {rows[-1][1]}
 
 
-def test_pii_counts_by_broadcast_and_shuffle_agree(spark):
-    docs = spark.createDataFrame([("one two three",), ("Two four",), (None,)], "text string")
+def test_pii_documents_of_terms(spark):
+    docs = spark.createDataFrame([("one two three",), ("Two four two",), (None,)], "text string")
     terms = spark.createDataFrame([("two",), ("four",), ("nine",)], "term string")
-    a, b = (sorted(map(tuple, pii.term_documents(docs, terms, "text", broadcast_rows=n).select("term", "df").collect())) for n in (10, 0))
-    assert a == b == [("four", 1), ("two", 2)]
+    assert sorted(map(tuple, pii.term_documents(docs, terms, "text").select("term", "df").collect())) == [("four", 1), ("two", 2)]
+
+
+def test_pii_terms_match_brute_force(spark):
+    """Added terms of the defaults, counted by plain loops over a corpus with hot and rare entities."""
+    rng = np.random.default_rng(11)
+    mails = ["hot@x.com", "warm@x.com", "cold@y.org", "rare@z.net"]
+    names = ["Hotter", "Warmer", "Colder", "Rarest"]
+    words = [f"word{chr(97 + k)}" for k in range(20)]
+    rows = []
+    for i in range(300):
+        text = list(rng.choice(words, 6))
+        k = int(rng.choice(6, p=[0.3, 0.1, 0.03, 0.01, 0.28, 0.28]))
+        if k < 4:
+            text += [mails[k]] * (rng.random() < 0.9) + [names[k]] * (rng.random() < 0.8)
+        rows.append((i, " ".join(rng.permutation(text))))
+    docs = [({w.lower() for w in t.split() if "@" not in w}, {w for w in t.split() if "@" in w}) for _, t in rows]
+    df, de = collections.Counter(w for ws, _ in docs for w in ws), collections.Counter(e for _, es in docs for e in es)
+    both = collections.Counter((e, w) for ws, es in docs for e in es for w in ws)
+    told = {w for (e, w), n in both.items() if n >= 3 and de[e] >= 3 and n / df[w] >= 0.5 and math.log2(n / df[w] * len(rows) / de[e]) >= 0.5 * math.log2(len(rows) / de[e])}
+    assert {"hotter", "warmer", "colder"} <= told and not told & set(words)
+    got = {r.doc_id: sorted((s.start, s.end) for s in r.terms) for r in pii.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: [m.span() for m in re.finditer(r"\S+", t) if m.group().lower() in told] for i, t in rows}
+
+
+def test_pii_text_of_very_many_matches(spark):
+    """20,000 matches and code points beyond the basic plane: every place is right."""
+    text = " ".join(f"é😀 u{k}@ex.org 10.0.{k % 256}.{k % 7}" for k in range(10000))
+    df = spark.createDataFrame([(1, text), (2, "b@ex.org")], "doc_id long, text string")
+    r = next(r for r in pii.op3_pii(df).collect() if r.doc_id == 1)
+    assert (r.n_email, r.n_ip) == (10000, 10000)
+    want = [f"{k}:{m.start()}:{m.end()}" for k, p in (("email", r"u\d+@ex\.org"), ("ip", r"10\.0\.\d+\.\d+")) for m in re.finditer(p, text)]
+    assert r.base_sha256 == hashlib.sha256(",".join(want).encode()).hexdigest()
+    clean = {r.doc_id: r.text for r in pii.sanitise(df).collect()}
+    assert clean == {1: " ".join(["é😀 <EMAIL> <IP>"] * 10000), 2: "<EMAIL>"}
 
 
 def contaminated(docs, items, width=10):
