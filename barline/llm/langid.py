@@ -29,10 +29,9 @@ for _c in range(128):
         _FOLD[_c] = 32
 
 
-def ngram_ids(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Bucket of each n-gram (an array of three rows, one for each order) and the bounds of the
-    texts.  Every text has blanks around it, so that no n-gram spans two texts."""
-    parts = [f" {t.lower()}  " for t in texts]
+def ngram_ids(parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Bucket of each n-gram (an array of three rows, one for each order) and the bounds of the parts.
+    The n-grams that start at the last two characters of a part belong to no part."""
     arr = np.frombuffer("".join(parts).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).copy()
     low = arr < 128
     arr[low] = _FOLD[arr[low]]
@@ -49,20 +48,22 @@ def ngram_ids(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def pieces(texts: list[str]):
-    """Groups of texts of bounded size: (indices, strings).  A long text is cut into
-    pieces that overlap by nothing and are all counted."""
+    """Groups of texts of bounded size: (indices, strings).  Every text has blanks around it, so that
+    no n-gram spans two texts; a long text is cut into pieces that overlap by two characters, so that
+    each of its n-grams starts in exactly one."""
     idx: list[int] = []
     out: list[str] = []
     size = 0
     for i, t in enumerate(texts):
-        for at in range(0, max(1, len(t)), _PIECE):
-            part = t[at : at + _PIECE]
-            if size + len(part) > _PIECE and out:
+        t = f" {t.lower()}  "
+        for at in range(0, len(t) - 2, _PIECE):
+            part = t[at : at + _PIECE + 2]
+            if size + len(part) > _PIECE + 2 and out:
                 yield idx, out
                 idx, out, size = [], [], 0
             idx.append(i)
             out.append(part)
-            size += len(part) + 3
+            size += len(part)
     if out:
         yield idx, out
 
@@ -208,7 +209,8 @@ def fit(docs: DataFrame, training: Column, *, text: str = "text", lang: str = "l
     share = F.lit(0)
     for name, n in sizes.items():
         share = F.when(F.col(lang) == name, F.lit(min(unit, int(unit * sample_per_lang / n)))).otherwise(share)
-    sample = rows.where(F.pmod(F.xxhash64(*[F.col(c) for c in rows.columns]), F.lit(unit)) < share).select(text, lang)
+    # rows that repeat a text go in or out together: they are taken once
+    sample = rows.where(F.pmod(F.xxhash64(text, lang), F.lit(unit)) < share).select(text, lang).distinct()
     got = sorted(sample.collect(), key=lambda r: (r[1], r[0]))
     return train([r[0] for r in got], [r[1] for r in got], idf_of(df, n_docs))
 
@@ -216,8 +218,9 @@ def fit(docs: DataFrame, training: Column, *, text: str = "text", lang: str = "l
 def identify(docs: DataFrame, model: LanguageModel, *, keep: list[str], text: str = "text") -> DataFrame:
     """``keep`` columns plus ``lang_pred`` and ``score`` of every row.
 
-    Null texts and texts without a letter: ``und``, score 0.  Repeated rows give repeated
-    results, an empty table an empty result; columns not in ``keep`` are ignored.
+    Null texts and texts without a letter: ``und``, score 0.  Texts are read whole, very long ones in
+    pieces; ties go to the first language by name.  Repeated rows give repeated results, an empty
+    table an empty result; columns not in ``keep`` are ignored.
     """
     sc = docs.sparkSession.sparkContext
     shared = sc.broadcast(model)  # SIZE x number of languages

@@ -6,7 +6,7 @@ a set at once and stop as soon as every slot is filled below the next step.  Wit
 in each of 24 bands a pair at similarity 0.8 stays unseen with probability (1 - 0.8**4)**24,
 about 3e-6.
 
-Documents with equal sets are one class.  In a bucket every class is compared with a pivot, the
+Documents with equal sets (by 128 bits of hash of the whole set) are one class.  In a bucket every class is compared with a pivot, the
 class with most company over all its buckets.  Classes that the pivot does not link may still
 link to others of its group: these few are compared with all members, in blocks (see
 ``stragglers``).  Every link is confirmed on full sets.
@@ -25,7 +25,9 @@ from barline.llm.components import connected_components
 from barline.llm.repeats import BLOCKS, UNSURE, _blocks, _read, _with_texts, text_blocks
 
 U64 = np.uint64
-GOLD = U64(0x9E3779B97F4A7C15)
+GOLD, START = U64(0x9E3779B97F4A7C15), U64(0xD1B54A32D192ED03)
+#: Copies of the name of a group, so that its members meet it in as many places.
+SALTS = 32
 
 
 def shingle_sets(buf: np.ndarray, offsets: np.ndarray, size: int = 2) -> tuple[np.ndarray, np.ndarray]:
@@ -83,21 +85,23 @@ def signatures(sets: np.ndarray, bounds: np.ndarray, m: int) -> np.ndarray:
 
 
 def sketch(docs: DataFrame, *, bands: int = 24, rows: int = 4, size: int = 2) -> DataFrame:
-    """(__rk, doc, n_shingles, set, bands) of ``docs`` (__rk, doc, __text)."""
+    """(__rk, doc, n_shingles, set, more, bands) of ``docs`` (__rk, doc, __text): ``set`` and ``more`` are
+    two independent 64-bit hashes of the shingle set."""
     kind = dict(docs.dtypes)["doc"]
 
     def run(batches):
         for batch in batches:
             buf, offsets = vec.text_buffer(batch.column(2))
             count = np.zeros(batch.num_rows, dtype=np.int64)
-            name = np.zeros(batch.num_rows, dtype=U64)
+            name = np.zeros((2, batch.num_rows), dtype=U64)
             keys = np.zeros((batch.num_rows, bands), dtype=U64)
             for a, b in vec.chunks(np.diff(offsets)):
                 part = buf[offsets[a] : offsets[b]]
                 sets, bounds = shingle_sets(part, offsets[a : b + 1] - offsets[a], size)
                 count[a:b] = np.diff(bounds)
-                sums = np.concatenate([np.zeros(1, U64), np.cumsum(vec.mix64(sets ^ GOLD), dtype=U64)])
-                name[a:b] = vec.mix64(sums[bounds[1:]] - sums[bounds[:-1]] + count[a:b].astype(U64))
+                for k, salt in enumerate((GOLD, START)):
+                    sums = np.concatenate([np.zeros(1, U64), np.cumsum(vec.mix64(sets ^ salt), dtype=U64)])
+                    name[k, a:b] = vec.mix64(sums[bounds[1:]] - sums[bounds[:-1]] + count[a:b].astype(U64))
                 sig = signatures(sets, bounds, bands * rows).reshape(b - a, bands, rows)
                 acc = np.broadcast_to(np.arange(1, bands + 1, dtype=U64) * GOLD, (b - a, bands))
                 for r in range(rows):
@@ -105,9 +109,9 @@ def sketch(docs: DataFrame, *, bands: int = 24, rows: int = 4, size: int = 2) ->
                 keys[a:b] = acc
             offs = np.arange(batch.num_rows + 1, dtype=np.int32) * bands
             key_col = pa.ListArray.from_arrays(pa.array(offs), pa.array(keys.reshape(-1).view(np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(count), pa.array(name.view(np.int64)), key_col], names=["__rk", "doc", "n_shingles", "set", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(count), *(pa.array(x.view(np.int64)) for x in name), key_col], names=["__rk", "doc", "n_shingles", "set", "more", "bands"])
 
-    return docs.select("__rk", "doc", "__text").mapInArrow(run, f"__rk long, doc {kind}, n_shingles long, set long, bands array<long>")
+    return docs.select("__rk", "doc", "__text").mapInArrow(run, f"__rk long, doc {kind}, n_shingles long, set long, more long, bands array<long>")
 
 
 def verify(pairs: DataFrame, texts: DataFrame, *, percent: int, size: int, group: int = 256) -> DataFrame:
@@ -193,7 +197,7 @@ def verify(pairs: DataFrame, texts: DataFrame, *, percent: int, size: int, group
     return sent.repartitionById(n, F.col("part")).mapInArrow(compare, "a long, b long, linked boolean, n_a long, n_b long, diff array<long>")
 
 
-def stragglers(checked: DataFrame, *, percent: int, block: int = 512) -> DataFrame:
+def stragglers(checked: DataFrame, *, percent: int, block: int = 256) -> DataFrame:
     """Links (a, b) between the partners of a pivot when one at least is not linked to the pivot.
 
     The difference of two sets is that of their differences to the pivot, so no text is read again.
@@ -265,14 +269,15 @@ def groups(docs: DataFrame, *, key: str = "doc_id", text: str = "text", percent:
     ``__group`` tells groups apart whatever their keys (null: no words).
 
     Documents without words, empty or null texts have no shingles and are their own component;
-    repeated rows fall into one class; nulls among the keys count as greatest; an empty table gives an
-    empty result; other columns are ignored.
+    very long texts have all their shingles; repeated rows fall into one class; of pivots with equal
+    company the greatest row key serves; nulls among the keys count as greatest; an empty table gives
+    an empty result; other columns are ignored.
     """
     src = docs.select(F.col(key).alias("doc"), row_key(key, text).alias("__rk"), F.coalesce(F.col(text), F.lit("")).alias("__text"))
     sig = materialise(sketch(src, bands=bands, rows=rows, size=size), "minhash-sketch")
     named = sig.where("n_shingles > 0")
-    classes = named.groupBy("set").agg(F.min(F.struct("__rk", "bands")).alias("m"), F.min("doc").alias("least"))
-    classes = materialise(classes.select("set", F.col("m.__rk").alias("rep"), F.col("m.bands").alias("bands"), "least"), "minhash-classes")
+    classes = named.groupBy("set", "more").agg(F.min(F.struct("__rk", "bands")).alias("m"), F.min("doc").alias("least"))
+    classes = materialise(classes.select("set", "more", F.col("m.__rk").alias("rep"), F.col("m.bands").alias("bands"), "least"), "minhash-classes")
     slots = classes.select("rep", F.explode("bands").alias("slot"))
     full = slots.groupBy("slot").agg(F.count("*").alias("n")).where("n > 1")
     live = materialise(slots.join(full, "slot"), "minhash-buckets")
@@ -284,11 +289,17 @@ def groups(docs: DataFrame, *, key: str = "doc_id", text: str = "text", percent:
     checked = materialise(verify(star, texts, percent=percent, size=size), "minhash-checked")
     links = checked.where("linked").select("a", "b").unionByName(stragglers(checked, percent=percent))
     member = connected_components(links)
-    placed = classes.select("set", "rep", "least").join(member.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
-    name = placed.groupBy("root").agg(F.min("least").alias("component"))
-    named_set = materialise(placed.select("set", "root").join(name, "root").select("set", "root", "component"), "minhash-names")
-    out = sig.select("doc", "__rk", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("set")).alias("set")).join(named_set, "set", "left")
-    return out.select(F.col("doc").alias(key), "__rk", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc")).alias("component"), F.col("root").alias("__group"))
+    # only linked classes need a name; a hot group meets its name in SALTS places
+    linked = classes.select("set", "more", "rep", "least").join(member.withColumnRenamed("node", "rep"), "rep")
+    linked = linked.withColumn("salt", F.pmod(F.xxhash64("rep"), F.lit(SALTS)))
+    part = linked.groupBy("root", "salt").agg(F.min("least").alias("least"))
+    name = part.groupBy("root").agg(F.min("least").alias("component")).withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    placed = linked.join(name, ["root", "salt"]).select("set", "more", "root", "component")
+    alone = classes.join(member.select(F.col("node").alias("rep")), "rep", "left_anti").select("set", "more", F.col("rep").alias("root"), F.col("least").alias("component"))
+    named_set = materialise(placed.unionByName(alone), "minhash-names")
+    some = F.col("n_shingles") > 0
+    out = sig.select("doc", "__rk", "n_shingles", F.when(some, F.col("set")).alias("set"), F.when(some, F.col("more")).alias("more")).join(named_set, ["set", "more"], "left")
+    return out.select(F.col("doc").alias(key), "__rk", "n_shingles", F.when(some, F.col("component")).otherwise(F.col("doc")).alias("component"), F.col("root").alias("__group"))
 
 
 def keep_one(docs: DataFrame, *, key: str = "doc_id", text: str = "text", **options) -> DataFrame:

@@ -232,6 +232,22 @@ def test_language_identification(spark):
     assert langid.op8_langid(df.limit(0)).count() == 0
 
 
+def test_language_pieces_lose_and_add_no_ngram(monkeypatch):
+    texts = ["", "a", "Straße über den Ðé 12", "İx" * 40, "abcdefghij" * 7]
+    whole = [(tuple(i), tuple(n)) for i, n in langid.counts_per_text(texts)]
+    model = langid.LanguageModel(["x", "y"], np.ones(langid.SIZE), np.random.default_rng(1).normal(size=(langid.SIZE, 2)), 1.0)
+    logits = model.logits(texts)
+    monkeypatch.setattr(langid, "_PIECE", 5)
+    assert [(tuple(i), tuple(n)) for i, n in langid.counts_per_text(texts)] == whole
+    assert model.logits(texts) == pytest.approx(logits, rel=1e-6, abs=1e-6)
+    # against a plain loop over the n-grams
+    for t, row in zip(texts, logits):
+        p = "".join(c if ord(c) > 127 or c.isalpha() else " " for c in f" {t.lower()}  ")
+        grams = [langid.ngram_ids([p[k : k + 3]])[0][:, 0] for k in range(len(p) - 2)]
+        want = sum(model.weights[g].sum(axis=0) for g in grams) * langid.SCALE / (3 * len(grams))
+        assert row == pytest.approx(want, rel=1e-4, abs=1e-4)
+
+
 def test_toxicity_is_learned(spark):
     ship(spark)
     rng = np.random.default_rng(1)
