@@ -10,9 +10,10 @@ from barline.functions.windows import wt
 
 def rank(x: str, by: tuple[str, ...] = ("timestamp",)) -> Column:
     """Average-tie rank; NULL for NULL."""
-    base = Window.partitionBy(*by)
-    ties = F.count(x).over(Window.partitionBy(*by, x))
-    return F.when(F.col(x).isNotNull(), F.rank().over(base.orderBy(F.col(x).asc_nulls_last())) + (ties - 1) / 2.0)
+    order = Window.partitionBy(*by).orderBy(F.col(x).asc_nulls_last())
+    # rows of equal value are the peers of the rank's own order: one sort for both
+    ties = F.count(x).over(order.rangeBetween(Window.currentRow, Window.currentRow))
+    return F.when(F.col(x).isNotNull(), F.rank().over(order) + (ties - 1) / 2.0)
 
 
 def cs_rank(x: str) -> Column:

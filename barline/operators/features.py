@@ -35,7 +35,8 @@ assert len(PRODUCTION) == 36 and len(NEW) == 15 and len(COMBINED) == 51
 
 
 def symbol_features(bars: DataFrame, *, adjusted: bool = True) -> DataFrame:
-    """All raw features of each symbol; one sort by (symbol, timestamp) serves every window."""
+    """All raw features of each symbol; the rolling windows share one sort by (symbol, timestamp), the
+    exponential ones another by (symbol, block)."""
     df = adjusted_ohlc(bars) if adjusted else bars
     df = df.withColumns({"log_return": ind.log_return(), "__gain": ind.gain(), "__loss": ind.loss(), "__tr": ind.true_range()})
     df = with_ewm(

@@ -90,18 +90,26 @@ def barriers(bars: DataFrame, *, pt: float = 1.0, sl: float = 1.0, vertical: int
 
 
 def triple_barrier(bars: DataFrame, events: DataFrame | None = None, *, span: int = 20, **options) -> DataFrame:
-    """(symbol, t0, t1, ret, label) of each event (default: every bar with a volatility)."""
+    """(symbol, t0, t1, ret, label) of each event (default: every bar with a volatility).
+
+    Given events must be bars with a positive volatility, and with a ``side`` of 1 or -1 where one is
+    asked for: an error names the first few that are not.
+    """
     df = barriers(daily_volatility(bars, span), **options)
     if events is not None:
+        bad = check_events(bars, events, span, options.get("side")).limit(5).collect()
+        if bad:
+            raise LabelError("; ".join(f"{r.reason}: {r.symbol} at {r.timestamp}" for r in bad))
         df = df.join(events.select("symbol", "timestamp").distinct(), ["symbol", "timestamp"], "left_semi")
     return df.select("symbol", F.col("timestamp").alias("t0"), "t1", "ret", "label")
 
 
-def check_events(bars: DataFrame, events: DataFrame, span: int = 20) -> DataFrame:
-    """Events that no bar has, or whose volatility is not positive."""
-    vol = daily_volatility(bars, span).select("symbol", "timestamp", "vol")
+def check_events(bars: DataFrame, events: DataFrame, span: int = 20, side: str | None = None) -> DataFrame:
+    """Events that no bar has, or whose volatility is not positive, or whose side is neither 1 nor -1."""
+    known = F.col(side).cast("double").isin(1.0, -1.0) if side else F.lit(True)
+    vol = daily_volatility(bars, span).select("symbol", "timestamp", "vol", F.coalesce(known, F.lit(False)).alias("sided"))
     df = events.join(vol.withColumn("known", F.lit(True)), ["symbol", "timestamp"], "left")
-    reason = F.when(F.col("known").isNull(), "unknown event").when(F.coalesce(F.col("vol"), F.lit(0.0)) <= 0, "volatility")
+    reason = F.when(F.col("known").isNull(), "unknown event").when(F.coalesce(F.col("vol"), F.lit(0.0)) <= 0, "volatility").when(~F.col("sided"), "side")
     return df.withColumn("reason", reason).where("reason is not null").select("symbol", "timestamp", "reason")
 
 
@@ -151,6 +159,8 @@ def label_pipeline(bars: DataFrame, *, threshold: float = 0.02, span: int = 20,
     if events is None:
         events = cusum_events(bars, threshold)
     samples = triple_barrier(bars, events, span=span, pt=pt, sl=sl, vertical=vertical)
+    if samples.isEmpty():
+        raise LabelError("no samples")
     out = sample_weights(samples, bars.select("symbol", "timestamp"))
     return out.select("symbol", "label", "t0", "t1", "ret", "weight")
 
@@ -207,8 +217,9 @@ def adf_pvalue(values) -> float:
     return 0.5 * math.erfc(-z / math.sqrt(2.0))
 
 
-def min_ffd_d(bars: DataFrame, *, column: str = "close", thresh: float = 1e-4, significance: float = 0.05, step: float = 0.1, min_points: int = 20) -> DataFrame:
-    """(symbol, d): the least d on the grid whose differenced log series is stationary; NULL if none.
+def min_ffd_d(bars: DataFrame, *, column: str = "close", thresh: float = 1e-4, significance: float = 0.05, step: float = 0.1, min_points: int = 20, missing: str = "raise") -> DataFrame:
+    """(symbol, d): the least d on the grid whose differenced series is stationary.  A symbol without any
+    is an error when it is met, or has a NULL with ``missing="null"``.
 
     The test regresses within one series, so each symbol is one group of a grouped map.
     """
@@ -217,7 +228,7 @@ def min_ffd_d(bars: DataFrame, *, column: str = "close", thresh: float = 1e-4, s
         import numpy as np
         import pandas as pd
 
-        x = np.log(pdf.sort_values("timestamp")[column].to_numpy(dtype=float))
+        x = pdf.sort_values("timestamp")[column].to_numpy(dtype=float)
         found = None
         for i in range(int(round(1 / step)) + 1):
             d = round(i * step, 10)
@@ -227,7 +238,11 @@ def min_ffd_d(bars: DataFrame, *, column: str = "close", thresh: float = 1e-4, s
             if adf_pvalue(np.convolve(x, w, mode="valid")) < significance:
                 found = d
                 break
+        if found is None and missing == "raise":
+            raise LabelError(f"no d in [0, 1] makes {pdf['symbol'].iloc[0]} stationary")
         return pd.DataFrame({"symbol": [pdf["symbol"].iloc[0]], "d": [found]}, columns=["symbol", "d"]).astype({"d": "float64"})
 
+    if not 0.0 < significance < 1.0 or not 0.0 < step <= 1.0:
+        raise LabelError("significance and step must be in (0, 1]")
     ship(bars.sparkSession)
     return bars.select("symbol", "timestamp", column).groupBy("symbol").applyInPandas(search, "symbol string, d double")

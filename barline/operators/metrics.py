@@ -160,12 +160,14 @@ def corrected_verdict(real: float, q95: float) -> str:
 
 
 def permute_within_dates(labels: DataFrame, seed: int, perm: int, column: str = "label") -> DataFrame:
-    """The labels of each date dealt anew among its symbols: a seeded order of hashes, the same on any
-    partitioning."""
+    """The labels of each date dealt anew among its symbols: a seeded order of digests, the same on any
+    partitioning.  Rows are numbered twice within their date, by symbol and by digest of
+    ``seed|perm|timestamp|symbol``; the label of the i-th digest goes to the i-th symbol."""
+    when = F.col("timestamp").cast("string")
+    digest = F.md5(F.concat_ws("|", F.lit(str(seed)), F.lit(str(perm)), when, "symbol"))
     here = Window.partitionBy("timestamp").orderBy("symbol")
-    drawn = Window.partitionBy("timestamp").orderBy(F.xxhash64(F.lit(seed), F.lit(perm), "timestamp", "symbol"), "symbol")
-    # element i of the date's labels in drawn order goes to the i-th symbol: one shuffle, no join
-    everyone = Window.partitionBy("timestamp")
+    drawn = Window.partitionBy("timestamp").orderBy(digest, "symbol")
     df = labels.withColumns({"__i": F.row_number().over(here), "__j": F.row_number().over(drawn)})
-    dealt = F.transform(F.array_sort(F.collect_list(F.struct(F.col("__j"), F.col(column).alias("v"))).over(everyone)), lambda x: x["v"])
-    return df.withColumn(column, F.element_at(dealt, F.col("__i"))).drop("__i", "__j")
+    dealt = df.select("timestamp", F.col("__j").alias("__i"), F.col(column).alias("__v"))
+    out = df.join(dealt, ["timestamp", "__i"]).withColumn(column, F.col("__v"))
+    return out.select(*labels.columns)

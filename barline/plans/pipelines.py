@@ -17,6 +17,10 @@ from barline.operators import models as mod
 from barline.operators import splits as spl
 
 
+#: Symbols that the identity of a model can name; more are refused, none is left out.
+MAX_SYMBOLS = 1_000_000
+
+
 @dataclass(frozen=True)
 class BaselineResult:
     metrics: DataFrame
@@ -41,7 +45,9 @@ def run_baseline(bars: DataFrame, cfg: Research, names: tuple[str, ...] = feat.P
     """Features, forward returns, embargoed split, boosted trees, information coefficients."""
     data = _dataset(bars, feat.production_matrix(bars), names, cfg.horizon)
     model, scores, split = _scored(data, names, cfg)
-    symbols = [r[0] for r in bars.select("symbol").distinct().orderBy("symbol").limit(10_000).collect()]
+    symbols = [r[0] for r in bars.select("symbol").distinct().orderBy("symbol").limit(MAX_SYMBOLS + 1).collect()]
+    if len(symbols) > MAX_SYMBOLS:
+        raise ValueError(f"the identity of a model names its symbols: at most {MAX_SYMBOLS}")
     digest = mod.identity_hash(names, mod.parameters(cfg), symbols, cfg.train_end, cfg.test_start, "1d", cfg.seed)
     summary = met.ic_summary(met.ic_by_date(scores), min_breadth=cfg.min_breadth, threshold=cfg.ic_threshold)
     return BaselineResult(summary, scores, split, model, digest)
@@ -68,14 +74,21 @@ class GateResult:
     merged: DataFrame
     deflated: met.Deflated
 
+    def path_sharpe(self) -> DataFrame:
+        """One row: mean and sample deviation of the Sharpe ratios of the paths (0 for a single one)."""
+        own = met.sharpe_moments(self.paths, keys=("fold_id",))
+        return own.agg(F.avg("sharpe").alias("mean"), F.coalesce(F.stddev_samp("sharpe"), F.lit(0.0)).alias("std"))
+
 
 def overfitting_gate(data: DataFrame, names: tuple[str, ...], cfg: Research, *, variance: float, trials: int, n: int = 6, k: int = 2, trading: DataFrame | None = None) -> GateResult:
     """Out-of-sample returns of every fold, merged by date and deflated.
 
-    ``data`` has (timestamp, symbol, label, features).
+    ``data`` has (timestamp, symbol, label, features).  Every row must have a label end on the calendar
+    ``trading`` (timestamp), or on its symbol's own rows without one; a row that has none is an error.
     """
-    placed = spl.label_ends(data, cfg.horizon, trading)
-    placed = (placed.where("t1 is not null") if trading is None else placed).persist()
+    placed = spl.label_ends(data, cfg.horizon, trading).persist()
+    if not placed.where("t1 is null or timestamp is null").isEmpty():
+        raise spl.SplitError("rows without a label end: the calendar must reach the horizon beyond them")
     data = placed.drop("t1")
     roles = spl.check_cpcv(placed, spl.cpcv_roles(placed, n=n, k=k, embargo=cfg.embargo)).cache()
 
@@ -136,9 +149,12 @@ def settle_start(cfg: Research, horizon: int, *frames: DataFrame) -> date:
     return least
 
 
-def triage_candidates(rows: DataFrame, threshold: float = 0.02) -> DataFrame:
-    """Arms whose rank coefficient reaches the threshold on every horizon."""
-    ok = F.coalesce(F.bool_and(F.col("rank_ic_mean") >= threshold), F.lit(False))
+def triage_candidates(rows: DataFrame, threshold: float = 0.02, horizons: tuple[int, ...] = (2, 21)) -> DataFrame:
+    """Arms whose rank coefficient reaches the threshold on every one of ``horizons``; an arm without a
+    row for one of them is none."""
+    own = F.col("horizon").isin(*horizons)
+    reached = F.coalesce(F.bool_and(F.when(own, F.coalesce(F.col("rank_ic_mean") >= threshold, F.lit(False)))), F.lit(False))
+    ok = reached & (F.count_distinct(F.when(own, F.col("horizon"))) == len(set(horizons)))
     return rows.groupBy("arm").agg(ok.alias("candidate"))
 
 
@@ -159,11 +175,8 @@ def small_cap_verdict(rank_ics: tuple[float, ...], threshold: float = 0.02) -> s
 
 
 def momentum_verdict(rank_ics: tuple[float, ...], threshold: float = 0.02) -> str:
-    """JA if every horizon is beyond the threshold with one sign."""
-    if not rank_ics or any(x is None for x in rank_ics):
-        return "NEIN"
-    beyond = all(abs(x) > threshold for x in rank_ics)
-    return "JA" if beyond and len({x > 0 for x in rank_ics}) == 1 else "NEIN"
+    """JA if the coefficient of every horizon is above the threshold."""
+    return "JA" if rank_ics and all(x is not None and x > threshold for x in rank_ics) else "NEIN"
 
 
 def meta_triage(bars: DataFrame, cfg: Research, names: tuple[str, ...] = feat.PRODUCTION, threshold: float = 0.5) -> dict[str, DataFrame]:

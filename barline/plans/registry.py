@@ -184,17 +184,64 @@ def window_ewm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(df.join(vol, ["symbol", "timestamp"]), ["symbol", "timestamp"], EWMS, digits=5)
 
 
-@query("feature_matrix_36")
+def _features_sql(bars: str) -> str:
+    """All raw features on adjusted prices (``feat``); ``bars`` defines bars with dividends."""
+    names = ", ".join(f"w{n} AS {last_sql(n)}" for n in (10, 20, 21, 60, 63))
+    momentum = ", ".join(f"close / nullif(lag(close, {k}) OVER w, 0) - 1 AS momentum_{k}" for k in (5, 10, 20, 60))
+    reversal = ", ".join(f"-(close / nullif(lag(close, {k}) OVER w, 0) - 1) AS reversal_{k}" for k in (5, 21))
+    spread = ", ".join(f"{_full_sql(n, 'r', f'stddev_pop(r) OVER w{n}')} AS ret_std_{n}" for n in (10, 20, 60))
+    inverse = ", ".join(f"{_full_sql(n, 'r', f'1 / nullif(stddev_pop(r) OVER w{n}, 0)')} AS inv_ret_std_{n}" for n in (21, 63))
+    ewms = [("r", "(2.0/21)", _STD, "base", "vol", True), ("up", "(1.0/14)", "m", "base", "eg"), ("dn", "(1.0/14)", "m", "base", "el"), ("tr", "(1.0/14)", "m", "base", "et"), ("close", "(2.0/13)", "m", "base", "ef"), ("close", "(2.0/27)", "m", "base", "es")]
+    joins = " ".join(f"LEFT JOIN {t} USING (symbol, timestamp)" for t in ("vol", "eg", "el", "et", "line", "sg"))
+    return f"""{bars}, {ADJ}, a AS (SELECT symbol, timestamp, volume, high * adj / close AS high, low * adj / close AS low, close * adj / close AS close FROM adj),
+base AS (SELECT *, lag(close) OVER w AS pc, CASE WHEN close / nullif(lag(close) OVER w, 0) > 0 THEN ln(close / lag(close) OVER w) END AS r,
+ CASE WHEN lag(close) OVER w IS NOT NULL THEN greatest(close - lag(close) OVER w, 0) END AS up, CASE WHEN lag(close) OVER w IS NOT NULL THEN greatest(lag(close) OVER w - close, 0) END AS dn,
+ greatest(high - low, coalesce(abs(high - lag(close) OVER w), 0), coalesce(abs(low - lag(close) OVER w), 0)) AS tr,
+ CASE WHEN high > 0 AND low > 0 THEN ln(high / low) END AS hl FROM a WINDOW w AS {W}),
+{", ".join(ewm_sql(*e) for e in ewms)},
+line AS (SELECT symbol, timestamp, CASE WHEN es.k >= 25 THEN ef.v - es.v END AS macd FROM ef JOIN es USING (symbol, timestamp)), {ewm_sql("macd", "(2.0/10)", "m", "line", "sg")},
+roll AS (SELECT symbol, timestamp, r AS log_return, {momentum}, {reversal}, {spread}, {inverse},
+ {_full_sql(20, 'close', 'close / nullif(avg(close) OVER w20, 0)')} AS ma_ratio_20, {_full_sql(20, 'close', '(close - avg(close) OVER w20) / nullif(avg(close) OVER w20, 0)')} AS mean_reversion_20,
+ {_full_sql(20, 'close', '(close - avg(close) OVER w20) / nullif(stddev_pop(close) OVER w20, 0)')} AS close_zscore_20, {_full_sql(20, 'volume', 'volume / nullif(avg(volume) OVER w20, 0)')} AS volume_ratio_20,
+ {_full_sql(21, 'hl', 'sqrt(sum(pow(hl, 2)) OVER w21 / (4 * 21 * ln(2)))')} AS parkinson_vol_21 FROM base WINDOW w AS {W}, {names}),
+feat AS (SELECT roll.*, CASE WHEN vol.k >= 19 THEN vol.v END AS realized_vol_20, macd, CASE WHEN sg.k >= 8 THEN sg.v END AS macd_signal, CASE WHEN et.k >= 13 THEN et.v END AS atr_14,
+ CASE WHEN eg.k >= 13 THEN CASE WHEN eg.v = 0 AND el.v = 0 THEN NULL WHEN el.v = 0 THEN 100.0 ELSE 100 - 100 / (1 + eg.v / el.v) END END AS rsi_14, CASE WHEN eg.k >= 13 THEN eg.v / nullif(el.v, 0) END AS gain_loss_ratio_14
+ FROM roll {joins})"""
+
+
+#: Features on the scale of prices: their digits beyond the third are noise of either engine.
+PRICED = ("macd", "macd_signal", "atr_14")
+
+
+def _matrix(df: DataFrame, names: tuple[str, ...]) -> DataFrame:
+    small = [n for n in names if n not in PRICED]
+    return rounded(df.withColumns({n: F.round(n, 3) for n in PRICED}), ["symbol", "timestamp"], [*PRICED, *small], digits=7)
+
+
+def _matrix_sql(bars: str, raw: tuple[str, ...], crossed: tuple[str, ...]) -> str:
+    """Raw features and, of the ``crossed`` ones, rank and z-score among the symbols of a date."""
+    both = []
+    for c in crossed:
+        rank = f"(rank() OVER (PARTITION BY timestamp ORDER BY {c} NULLS LAST) + (count({c}) OVER (PARTITION BY timestamp, {c}) - 1) / 2.0) / count({c}) OVER t"
+        score = f"CASE WHEN max({c}) OVER t = min({c}) OVER t THEN 0.0 ELSE ({c} - avg({c}) OVER t) / stddev_pop({c}) OVER t END"
+        both += [f"CASE WHEN {c} IS NOT NULL THEN round({rank}, 7) + 0.0 END AS {c}_cs_rank", f"CASE WHEN {c} IS NOT NULL THEN round({score}, 7) + 0.0 END AS {c}_cs_zscore"]
+    return f"WITH {_features_sql(bars)} SELECT symbol, {DAY}, {r_sql(*PRICED, digits=3)}, {r_sql(*(c for c in raw if c not in PRICED), digits=7)}, {', '.join(both)} FROM feat WINDOW t AS (PARTITION BY timestamp)"
+
+
+@query("feature_matrix_36", _matrix_sql(USER.replace("bars AS (", "bars AS (SELECT *, CASE WHEN day(timestamp) = 15 THEN close * 0.01 ELSE 0.0 END AS dividends FROM (", 1) + ")", feat.BASE + feat.MORE, feat.CROSS_BASE))
 def feature_matrix_36(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(feat.production_matrix(user_bars(spark, sf_dir)), ["symbol", "timestamp"], list(feat.PRODUCTION))
+    return _matrix(feat.production_matrix(user_bars(spark, sf_dir)), feat.PRODUCTION)
 
 
-@query("feature_matrix_51")
+@query("feature_matrix_51", _matrix_sql(PRIO, feat.BASE + feat.MORE + feat.CLASS_RAW, feat.CROSS_BASE + feat.CLASS_RAW))
 def feature_matrix_51(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(feat.combined_matrix(priority_bars(spark, sf_dir)), ["symbol", "timestamp"], list(feat.COMBINED))
+    return _matrix(feat.combined_matrix(priority_bars(spark, sf_dir)), feat.COMBINED)
 
 
-@query("feature_vectors")
+@query(
+    "feature_vectors",
+    f"WITH {_features_sql(PRIO)} SELECT symbol, {DAY}, 3 AS n, round(log_return + momentum_20 + close_zscore_20, 6) + 0.0 AS total FROM feat WHERE log_return IS NOT NULL AND momentum_20 IS NOT NULL AND close_zscore_20 IS NOT NULL",
+)
 def feature_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = ("log_return", "momentum_20", "close_zscore_20")
     vectors = feat.feature_vectors(feat.symbol_features(priority_bars(spark, sf_dir)), names)
@@ -450,7 +497,7 @@ def fracdiff(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("min_ffd_d")
 def min_ffd_d(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lab.min_ffd_d(priority_bars(spark, sf_dir))
+    return lab.min_ffd_d(priority_bars(spark, sf_dir), missing="null")
 
 
 TRAIN_END, TEST_START = date(1996, 12, 30), date(1997, 1, 14)
@@ -499,12 +546,15 @@ def deflated_sharpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(d.n, d.sharpe, d.threshold, d.z, d.dsr, d.verdict)], "n long, sharpe double, threshold double, z double, dsr double, verdict string")
 
 
-@query("permuted_labels", f"WITH {SCORES} SELECT {DAY}, count(*) AS n, round(sum(fwd), 6) + 0.0 AS total, round(max(fwd), 6) AS top FROM ok GROUP BY timestamp")
+@query(
+    "permuted_labels",
+    f"""WITH {SCORES}, n AS (SELECT symbol, timestamp, fwd, row_number() OVER (PARTITION BY timestamp ORDER BY symbol) AS i,
+ row_number() OVER (PARTITION BY timestamp ORDER BY md5('42|1|' || strftime(timestamp, '%Y-%m-%d %H:%M:%S') || '|' || symbol), symbol) AS j FROM ok)
+SELECT a.symbol, strftime(a.timestamp, '%Y-%m-%d') AS day, round(b.fwd, 6) + 0.0 AS fwd FROM n a JOIN n b ON a.timestamp = b.timestamp AND a.i = b.j""",
+)
 def permuted_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What a permutation must keep on every date."""
-    dealt = met.permute_within_dates(_scores(spark, sf_dir), 42, 1, "fwd")
-    out = dealt.groupBy("timestamp").agg(F.count("*").alias("n"), F.sum("fwd").alias("total"), F.max("fwd").alias("top"))
-    return rounded(out, ["timestamp", "n"], ["total", "top"])
+    """Each row with the label that it is dealt."""
+    return rounded(met.permute_within_dates(_scores(spark, sf_dir), 42, 1, "fwd"), ["symbol", "timestamp"], ["fwd"])
 
 
 @query("null_summary", f"WITH {PF} SELECT round(quantile_cont(strategy_return, 0.5), 6) + 0.0 AS q50, round(quantile_cont(strategy_return, 0.95), 6) AS q95, round(min(strategy_return), 6) AS min, round(max(strategy_return), 6) AS max, round(avg(CASE WHEN strategy_return < 0.01 THEN 1.0 ELSE 0.0 END) * 100, 6) AS below_pct FROM pf")
@@ -527,7 +577,7 @@ def run_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
 def overfitting_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     bars = priority_bars(spark, sf_dir)
     data = mod.assemble(feat.production_matrix(bars), lab.forward_returns(bars, SURVEYED.horizon), feat.PRODUCTION)
-    gate = pipelines.overfitting_gate(data, feat.PRODUCTION, SURVEYED, variance=trials.variance(trials.trials(spark)), trials=trials.N_TRIALS)
+    gate = pipelines.overfitting_gate(data, feat.PRODUCTION, SURVEYED, trading=bars, variance=trials.variance(trials.trials(spark)), trials=trials.N_TRIALS)
     return gate.merged
 
 

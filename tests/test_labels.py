@@ -81,6 +81,31 @@ def test_min_ffd_of_noise_is_zero(bars):
     assert r.d == 0.0
 
 
+def test_min_ffd_takes_the_series_as_given(bars):
+    """A walk is not stationary as such; its logarithm, which may be, is not what is tested."""
+    rng = np.random.default_rng(4)
+    walk = 1000 + np.cumsum(rng.normal(0, 1, 400))
+    found = lab.min_ffd_d(bars(list(walk)), thresh=1e-2).first().d
+    tests = {round(i / 10, 1): lab.adf_pvalue(np.convolve(walk, lab.ffd_weights(i / 10, 1e-2), mode="valid")) for i in range(11)}
+    assert found == min(d for d, p in tests.items() if p < 0.05) > 0
+    growth = np.exp(np.cumsum(np.full(400, 0.05) + rng.normal(0, 0.001, 400)))
+    with pytest.raises(Exception, match="stationary"):
+        lab.min_ffd_d(bars(list(growth)), thresh=1e-2).collect()
+    assert lab.min_ffd_d(bars(list(growth)), thresh=1e-2, missing="null").first().d is None
+
+
+def test_events_that_no_barrier_fits_are_errors(bars):
+    b = bars([100, 101, 103, 102, 104, 103])
+    good = b.select("symbol", "timestamp").orderBy("timestamp").offset(3)
+    assert lab.triple_barrier(b, good).count() == 3
+    with pytest.raises(lab.LabelError, match="volatility"):
+        lab.triple_barrier(b, b.select("symbol", "timestamp"))
+    with pytest.raises(lab.LabelError, match="unknown"):
+        lab.triple_barrier(b, good.selectExpr("symbol", "timestamp + interval 99 days as timestamp"))
+    with pytest.raises(lab.LabelError, match="side"):
+        lab.triple_barrier(b.selectExpr("*", "0.5 as side"), good, side="side")
+
+
 def test_adf_separates_walk_and_noise():
     rng = np.random.default_rng(2)
     e = rng.normal(size=500)

@@ -72,7 +72,37 @@ def test_corrected_verdict(real, q95, want):
 def test_verdict_rules():
     assert [pipe.breadth_verdict(x) for x in (0.04, 0.001, 0.019)] == ["breadth_noise", "features_dead", "inconclusive"]
     assert [pipe.small_cap_verdict(x) for x in ((0.01, 0.015), (0.01, 0.025))] == ["exhausted", "candidate"]
-    assert [pipe.momentum_verdict(x) for x in ((0.03, 0.04), (0.03, -0.04), (0.01, 0.015), ())] == ["JA", "NEIN", "NEIN", "NEIN"]
+    assert [pipe.momentum_verdict(x) for x in ((0.03, 0.04), (0.03, -0.04), (0.01, 0.015), (), (-0.03, -0.04), (0.03, None))] == ["JA"] + ["NEIN"] * 5
+
+
+def test_candidates_need_every_horizon(spark):
+    rows = [("a", 2, 0.03), ("a", 21, 0.02), ("b", 2, 0.5), ("c", 2, 0.03), ("c", 21, 0.01), ("d", 2, 0.03), ("d", 21, None), ("e", 63, 0.9)]
+    out = pipe.triage_candidates(spark.createDataFrame(rows, "arm string, horizon int, rank_ic_mean double"))
+    assert {r.arm for r in out.collect() if r.candidate} == {"a"}
+    assert out.count() == 5
+
+
+def test_path_sharpe(spark):
+    import datetime as dt
+
+    values = {0: [0.1, 0.2, 0.3], 1: [0.0, -0.1, 0.2]}
+    rows = [(f, dt.datetime(2024, 1, 1 + i), v) for f, vs in values.items() for i, v in enumerate(vs)]
+    df = spark.createDataFrame(rows, "fold_id int, timestamp timestamp, strategy_return double")
+    own = [np.mean(v) / np.std(v, ddof=1) for v in values.values()]
+    got = pipe.GateResult(df, df, None).path_sharpe().first()
+    assert (got["mean"], got["std"]) == pytest.approx((np.mean(own), np.std(own, ddof=1)))
+    assert pipe.GateResult(df.where("fold_id = 0"), df, None).path_sharpe().first()["std"] == 0.0
+
+
+def test_gate_refuses_rows_without_a_label_end(spark, bars):
+    from pyspark.sql import functions as F
+
+    from barline.config import Research
+
+    b = bars([float(x) for x in range(1, 41)])
+    data = b.select("timestamp", "symbol", F.lit(0.1).alias("label"), F.lit(1.0).alias("x"))
+    with pytest.raises(Exception, match="label end"):
+        pipe.overfitting_gate(data, ("x",), Research(horizon=5, embargo=5), variance=0.1, trials=2)
 
 
 def test_align_and_report(spark):

@@ -32,6 +32,7 @@ def test_registered_runs_have_the_surveyed_parameters(spark, monkeypatch, name):
     assert (seen["cfg"].rounds, seen["cfg"].min_leaf) == (100, 20)
     if name == "overfitting_gate":
         assert (seen["n"], seen["k"], tuple(seen["names"])) == (6, 2, feat.PRODUCTION)
+        assert seen["trading"] is not None
     if name == "triage":
         assert seen["horizons"] == (2, 21) and len(seen["arms"] or feat.ARMS) == 5
     if name == "momentum_probe":
@@ -42,6 +43,6 @@ def test_least_order_has_the_surveyed_threshold(spark, monkeypatch):
     if not SF.exists():
         pytest.skip("no test tables")
     got = {}
-    monkeypatch.setattr(registry.lab, "min_ffd_d", lambda bars, thresh=inspect.signature(lab.min_ffd_d).parameters["thresh"].default: got.update(thresh=thresh))
+    monkeypatch.setattr(registry.lab, "min_ffd_d", lambda bars, missing, thresh=inspect.signature(lab.min_ffd_d).parameters["thresh"].default: got.update(thresh=thresh))
     registry.queries()["min_ffd_d"](spark, str(SF))
     assert got["thresh"] == 1e-4
