@@ -549,7 +549,7 @@ def deflated_sharpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "permuted_labels",
     f"""WITH {SCORES}, n AS (SELECT symbol, timestamp, fwd, row_number() OVER (PARTITION BY timestamp ORDER BY symbol) AS i,
- row_number() OVER (PARTITION BY timestamp ORDER BY md5('42|1|' || strftime(timestamp, '%Y-%m-%d %H:%M:%S') || '|' || symbol), symbol) AS j FROM ok)
+ row_number() OVER (PARTITION BY timestamp ORDER BY md5('42|1|' || strftime(timestamp, '%Y-%m-%d') || '|' || symbol), symbol) AS j FROM ok)
 SELECT a.symbol, strftime(a.timestamp, '%Y-%m-%d') AS day, round(b.fwd, 6) + 0.0 AS fwd FROM n a JOIN n b ON a.timestamp = b.timestamp AND a.i = b.j""",
 )
 def permuted_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
