@@ -33,7 +33,7 @@ START = U64(0x51ED270B35A1C2D7)
 BLOCKS = "part int, chunk long, at long, block binary"
 SUMS = f"{BLOCKS}, words long, total long, target long"
 #: Bytes of text for each range of keys, and for each chunk of documents that asks together.
-RANGE, CHUNK = 1 << 24, 1 << 23
+RANGE, CHUNK = 1 << 24, 6 << 20
 
 
 @dataclass(frozen=True)
@@ -77,20 +77,27 @@ def _slices(column):
         yield a, b, buf[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
 
 
-def distinct(keys: np.ndarray, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct keys with their number in all and in chosen tokens (three rows), and the
-    place of each token's key among them."""
+def ranked(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted distinct keys, how often each occurs, and the place of each token's keys among them
+    (three rows)."""
     flat = keys.ravel()
     order = np.argsort(flat)
-    ranked = flat[order]
+    flat = flat[order]
     new = np.ones(len(flat), dtype=bool)
-    new[1:] = ranked[1:] != ranked[:-1]
+    new[1:] = flat[1:] != flat[:-1]
     edge = np.flatnonzero(new)
-    place = np.empty(len(flat), dtype=np.int32)
-    place[order] = np.cumsum(new) - 1
-    n = np.diff(edge, append=len(flat))
-    target = np.bincount(place, weights=np.tile(chosen, len(keys)), minlength=len(edge)).astype(np.int64)
-    return np.stack([ranked[edge].view(np.int64), n, target]), place.reshape(keys.shape)
+    names = flat[edge]
+    del flat
+    place = np.empty(len(order), dtype=np.int32)
+    place[order] = np.cumsum(new, dtype=np.int32) - 1
+    return names, np.diff(edge, append=len(order)), place.reshape(keys.shape)
+
+
+def distinct(keys: np.ndarray, chosen: np.ndarray) -> np.ndarray:
+    """Sorted distinct keys with their number in all and in chosen tokens (three rows)."""
+    names, n, place = ranked(keys)
+    target = sum(np.bincount(p[chosen], minlength=len(names)) for p in place)
+    return np.stack([names.view(np.int64), n, target])
 
 
 def _merge(parts: list[np.ndarray]) -> np.ndarray:
@@ -172,7 +179,7 @@ def ask(packed: DataFrame, ranges: int, *, counted: bool = True) -> DataFrame:
         for batch in batches:
             for chunk, block in zip(batch.column(0).to_pylist(), batch.column(1)):
                 _, _, keys, chosen = _unpacked(block.as_buffer())
-                rows = distinct(keys, chosen)[0]
+                rows = distinct(keys, chosen)
                 if not counted:
                     rows[1:] = 0
                 yield from _blocks(rows, ranges, chunk)
@@ -224,7 +231,7 @@ def _within(place: np.ndarray, of: np.ndarray) -> np.ndarray:
     code = of * (int(place.max(initial=0)) + 1) + place
     order = np.argsort(code)
     edge = vec.bounds_of(code[order])
-    out = np.empty(len(code), dtype=np.int64)
+    out = np.empty(len(code), dtype=np.int32)
     out[order] = np.repeat(np.diff(edge), np.diff(edge))
     return out
 
@@ -246,8 +253,9 @@ def losses(packed: DataFrame, told: DataFrame, models: Models, keep: list[str],
                     held.append((at, block.as_py()))
                     continue
                 rows, size, keys, chosen = _unpacked(block.as_buffer())
-                found, place = distinct(keys, chosen)
-                counts = np.zeros((2, found.shape[1]), dtype=np.int64)
+                names, _, place = ranked(keys)
+                counts = np.zeros((2, len(names)), dtype=np.int64)
+                del keys, names
                 for a, b in held:
                     c = vec.unpack(b).view(np.int64)
                     counts[:, a : a + c.shape[1]] = c
