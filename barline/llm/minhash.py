@@ -27,7 +27,7 @@ from barline.llm.repeats import BLOCKS, UNSURE, _blocks, _read, _with_texts, tex
 U64 = np.uint64
 GOLD, START = U64(0x9E3779B97F4A7C15), U64(0xD1B54A32D192ED03)
 #: Copies of the name of a group, so that its members meet it in as many places.
-SALTS = 32
+SALTS = 8
 
 
 def shingle_sets(buf: np.ndarray, offsets: np.ndarray, size: int = 2) -> tuple[np.ndarray, np.ndarray]:
