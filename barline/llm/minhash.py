@@ -16,7 +16,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barline.llm import vec
@@ -26,7 +26,7 @@ from barline.llm.repeats import BLOCKS, UNSURE, _blocks, _read, _with_texts, tex
 
 U64 = np.uint64
 GOLD, START = U64(0x9E3779B97F4A7C15), U64(0xD1B54A32D192ED03)
-#: Copies of the name of a group, so that its members meet it in as many places.
+#: Places in which the members of a hot group meet what is said of the group.
 SALTS = 8
 
 
@@ -114,15 +114,23 @@ def sketch(docs: DataFrame, *, bands: int = 24, rows: int = 4, size: int = 2) ->
     return docs.select("__rk", "doc", "__text").mapInArrow(run, f"__rk long, doc {kind}, n_shingles long, set long, more long, bands array<long>")
 
 
+def _salt(member: str) -> Column:
+    """Place of a member of a hot group; what is said of the group is sent to the places in use only."""
+    return F.pmod(F.xxhash64(member), F.lit(SALTS))
+
+
 def verify(pairs: DataFrame, texts: DataFrame, *, percent: int, size: int, group: int = 256) -> DataFrame:
     """Each of ``pairs`` (a, b), row keys: linked, n_a, n_b and diff, the hashes in one set only (where
     b has several partners).
 
-    Pairs of one b are cut into groups of about ``group``; the texts travel to the groups.
+    Pairs of one b are cut into groups of about ``group``; the texts travel to the groups.  The number of
+    cuts meets the pairs of a hot b in SALTS places.
     """
     n = partitions(pairs.sparkSession)
-    sizes = pairs.groupBy("b").agg(F.ceil(F.count("*") / group).alias("cuts"), (F.count("*") > 1).cast("long").alias("many"))
-    cut = pairs.join(sizes, "b").select("a", "b", (F.pmod(F.xxhash64("a"), "cuts") * 2 + F.col("many")).alias("cut"))
+    pairs = pairs.withColumn("salt", _salt("a"))
+    sizes = pairs.groupBy("b", "salt").agg(F.count("*").alias("n")).groupBy("b").agg(F.sum("n").alias("n"), F.collect_set("salt").alias("salts"))
+    sizes = sizes.select("b", F.ceil(F.col("n") / group).alias("cuts"), (F.col("n") > 1).cast("long").alias("many"), F.explode("salts").alias("salt"))
+    cut = pairs.join(sizes, ["b", "salt"]).select("a", "b", (F.pmod(F.xxhash64("a"), "cuts") * 2 + F.col("many")).alias("cut"))
     asks = cut.select(F.col("a").alias("rk"), "b", "cut").unionByName(cut.select(F.col("b").alias("rk"), "b", "cut").distinct())
 
     def pack_asks(batches):
@@ -291,9 +299,9 @@ def groups(docs: DataFrame, *, key: str = "doc_id", text: str = "text", percent:
     member = connected_components(links)
     # only linked classes need a name; a hot group meets its name in SALTS places
     linked = classes.select("set", "more", "rep", "least").join(member.withColumnRenamed("node", "rep"), "rep")
-    linked = linked.withColumn("salt", F.pmod(F.xxhash64("rep"), F.lit(SALTS)))
+    linked = linked.withColumn("salt", _salt("rep"))
     part = linked.groupBy("root", "salt").agg(F.min("least").alias("least"))
-    name = part.groupBy("root").agg(F.min("least").alias("component")).withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    name = part.groupBy("root").agg(F.min("least").alias("component"), F.collect_set("salt").alias("salts")).withColumn("salt", F.explode("salts")).drop("salts")
     placed = linked.join(name, ["root", "salt"]).select("set", "more", "root", "component")
     alone = classes.join(member.select(F.col("node").alias("rep")), "rep", "left_anti").select("set", "more", F.col("rep").alias("root"), F.col("least").alias("component"))
     named_set = materialise(placed.unionByName(alone), "minhash-names")
