@@ -31,6 +31,21 @@ class FracDiff:
     thresh: float = 1e-4
 
 
+@dataclass(frozen=True)
+class Windows:
+    """Lengths of the base indicators, in bars."""
+
+    volatility: int = 20
+    momentum: int = 20
+    average: int = 20
+    rsi: int = 14
+    fast: int = 12
+    slow: int = 26
+    signal: int = 9
+    atr: int = 14
+    zscore: int = 20
+
+
 @dataclass(frozen=True)
 class Trading:
     max_position: float | None = None

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from barline.config import Windows
 from barline.functions import indicators as ind
 from barline.functions.cross_section import cs_rank, cs_zscore
 from barline.functions.ewm import Ewm, with_ewm
@@ -74,13 +75,21 @@ def cross_section(raw: DataFrame, names: tuple[str, ...]) -> DataFrame:
     return raw.withColumns(cols)
 
 
-def production_matrix(bars: DataFrame) -> DataFrame:
+def check_windows(windows: Windows | None) -> None:
+    """The matrices are defined by their names: other lengths than the fixed ones are an error."""
+    if windows is not None and windows != Windows():
+        raise ValueError("the feature matrices have fixed windows")
+
+
+def production_matrix(bars: DataFrame, windows: Windows | None = None) -> DataFrame:
     """The 36 production features of every bar."""
+    check_windows(windows)
     return cross_section(symbol_features(bars), CROSS_BASE).select("timestamp", "symbol", *PRODUCTION)
 
 
-def combined_matrix(bars: DataFrame) -> DataFrame:
+def combined_matrix(bars: DataFrame, windows: Windows | None = None) -> DataFrame:
     """All 51 features; experiment arms select from it, and unused columns are pruned."""
+    check_windows(windows)
     return cross_section(symbol_features(bars), CROSS_BASE + CLASS_RAW).select("timestamp", "symbol", *COMBINED)
 
 

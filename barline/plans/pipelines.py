@@ -101,6 +101,28 @@ def overfitting_gate(data: DataFrame, names: tuple[str, ...], cfg: Research, *,
     return GateResult(paths, merged, met.deflated_from_returns(merged, variance, trials))
 
 
+def check_candidate(names: tuple[str, ...]) -> None:
+    """The gate's candidate is the 15 new features in order, none of production."""
+    if tuple(names) != feat.NEW or len(names) != 15 or set(names) & set(feat.PRODUCTION):
+        raise ValueError("the candidate must be the 15 new features")
+
+
+def all_new_dataset(bars: DataFrame, horizon: int) -> DataFrame:
+    """The 15 new features with forward returns of ``horizon``."""
+    if horizon < 1:
+        raise ValueError("the horizon must be positive")
+    return mod.assemble(feat.combined_matrix(bars), lab.forward_returns(bars, horizon), feat.NEW)
+
+
+def all_new_gate(bars: DataFrame, cfg: Research, *, variance: float, trials: int, names: tuple[str, ...] = feat.NEW) -> GateResult:
+    """The overfitting gate of the new features: 15 folds of 6 blocks, the embargo as long as the horizon,
+    label ends on the calendar of all bars."""
+    check_candidate(names)
+    own = replace(cfg, embargo=cfg.horizon)
+    data = all_new_dataset(bars, cfg.horizon)
+    return overfitting_gate(data, feat.NEW, own, variance=variance, trials=trials, n=6, k=2, trading=bars)
+
+
 def meta_gate(data: DataFrame, names: tuple[str, ...], cfg: Research, *, variance: float, trials: int, n: int = 6, k: int = 2, threshold: float = 0.5) -> GateResult:
     """The same for accepted bets: ``data`` has label, ret and t1 of each event."""
     roles = spl.check_cpcv(data, spl.cpcv_roles(data, n=n, k=k, embargo=cfg.embargo)).cache()
@@ -170,6 +192,62 @@ def breadth_verdict(rank_ic: float, reference: float = 0.0176, threshold: float
     return "features_dead" if flat or (rank_ic < threshold and rank_ic <= reference) else "inconclusive"
 
 
+@dataclass(frozen=True)
+class Diagnostic:
+    """Rows of coefficients, how many symbols were asked for and had bars, and the verdict."""
+
+    rows: DataFrame
+    requested: int
+    kept: int
+    verdict: str
+
+    @property
+    def dropped_share(self) -> float:
+        return max(0, self.requested - self.kept) / self.requested
+
+
+def _asked(bars: DataFrame, universe: DataFrame | None) -> tuple[int, int]:
+    """(symbols of ``universe``, symbols of ``bars``); a symbol of the bars beyond the universe is an error."""
+    own = bars.select("symbol").distinct()
+    kept = own.count()
+    if not kept:
+        raise ValueError("no bars")
+    if universe is None:
+        return kept, kept
+    if not own.join(universe.select("symbol"), "symbol", "left_anti").isEmpty():
+        raise ValueError("bars of symbols beyond the universe")
+    return universe.select("symbol").distinct().count(), kept
+
+
+def universe_breadth(bars: DataFrame, cfg: Research, universe: DataFrame | None = None, horizon: int = 2) -> Diagnostic:
+    """The baseline on a broad universe at a short horizon, told against the narrow universe's coefficient.
+
+    ``universe`` (symbol) is what was asked for; ``cfg`` must have the horizon and the same embargo.
+    """
+    if (cfg.horizon, cfg.embargo) != (horizon, horizon):
+        raise ValueError(f"horizon and embargo must be {horizon}")
+    requested, kept = _asked(bars, universe)
+    rows = run_baseline(bars, cfg).metrics.withColumn("horizon", F.lit(horizon)).cache()
+    rank_ic = rows.first()["rank_ic_mean"]
+    return Diagnostic(rows, requested, kept, "inconclusive" if rank_ic is None else breadth_verdict(rank_ic))
+
+
+# Coefficients of the new features on the broad universe, by horizon.
+BROAD_NEW = {2: 0.022127, 21: 0.034849}
+
+
+def small_cap(bars: DataFrame, cfg: Research, universe: DataFrame | None = None, horizons: tuple[int, ...] = (2, 21), threshold: float = 0.02) -> Diagnostic:
+    """The 15 new features on another universe, a row for each horizon beside the broad universe's coefficient."""
+    if any(h not in BROAD_NEW for h in horizons):
+        raise ValueError("no coefficient of the broad universe for a horizon")
+    requested, kept = _asked(bars, universe)
+    rows = triage(bars, cfg, horizons, {"all_new": feat.NEW})
+    broad = F.create_map(*[F.lit(x) for pair in BROAD_NEW.items() for x in pair])
+    rows = rows.withColumns({"above": F.coalesce(F.col("rank_ic_mean") >= threshold, F.lit(False)), "broad_rank_ic": broad[F.col("horizon")]}).cache()
+    found = [r[0] for r in rows.select("rank_ic_mean").collect() if r[0] is not None]  # a row for each horizon
+    return Diagnostic(rows, requested, kept, small_cap_verdict(tuple(found), threshold))
+
+
 def small_cap_verdict(rank_ics: tuple[float, ...], threshold: float = 0.02) -> str:
     return "candidate" if any(x >= threshold for x in rank_ics) else "exhausted"
 

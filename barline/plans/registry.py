@@ -495,6 +495,19 @@ def fracdiff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(bars.withColumn("fracdiff", lab.fracdiff(bars, d=0.4, thresh=1e-2)), ["symbol", "timestamp"], ["fracdiff"], digits=5)
 
 
+@query(
+    "fracdiff_full",
+    f"""WITH RECURSIVE {PRIO}, w(k, v) AS (SELECT 0, CAST(1 AS DOUBLE) UNION ALL SELECT k + 1, -v * (CAST(0.4 AS DOUBLE) - k) / (k + 1) FROM w WHERE abs(v * (CAST(0.4 AS DOUBLE) - k) / (k + 1)) >= 1e-4),
+p AS (SELECT symbol, timestamp, close, row_number() OVER {W} AS i FROM bars),
+s AS (SELECT a.symbol, a.timestamp, count(*) AS n, fsum(v * b.close) AS x FROM p a CROSS JOIN w JOIN p b ON b.symbol = a.symbol AND b.i = a.i - w.k GROUP BY a.symbol, a.timestamp)
+SELECT symbol, {DAY}, CASE WHEN n = (SELECT count(*) FROM w) THEN round(x, 3) + 0.0 END AS fracdiff FROM s""",
+)
+def fracdiff_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The weights down to the operator's own threshold, 1e-4."""
+    bars = priority_bars(spark, sf_dir)
+    return rounded(bars.withColumn("fracdiff", lab.fracdiff(bars)), ["symbol", "timestamp"], ["fracdiff"], digits=3)
+
+
 @query("min_ffd_d")
 def min_ffd_d(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lab.min_ffd_d(priority_bars(spark, sf_dir), missing="null")
@@ -591,6 +604,21 @@ def triage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pipelines.triage(priority_bars(spark, sf_dir), SURVEYED)
 
 
+@query("universe_breadth")
+def universe_breadth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bars = priority_bars(spark, sf_dir)
+    cfg = replace(SURVEYED, horizon=2, embargo=2)
+    start = pipelines.settle_start(cfg, cfg.horizon, bars, lab.forward_returns(bars, cfg.horizon))
+    found = pipelines.universe_breadth(bars, replace(cfg, test_start=start))
+    return found.rows.withColumns({"symbols": F.lit(found.kept), "verdict": F.lit(found.verdict)})
+
+
+@query("small_cap")
+def small_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pipelines.small_cap(priority_bars(spark, sf_dir), SURVEYED)
+    return found.rows.withColumns({"symbols": F.lit(found.kept), "verdict": F.lit(found.verdict)})
+
+
 @query("momentum_probe")
 def momentum_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pipelines.momentum_probe(priority_bars(spark, sf_dir), SURVEYED)
