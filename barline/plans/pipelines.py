@@ -15,6 +15,7 @@ from barline.operators import labels as lab
 from barline.operators import metrics as met
 from barline.operators import models as mod
 from barline.operators import splits as spl
+from barline.sources.artifacts import append_results
 
 
 #: Symbols that the identity of a model can name; more are refused, none is left out.
@@ -136,13 +137,18 @@ def meta_gate(data: DataFrame, names: tuple[str, ...], cfg: Research, *, varianc
     return GateResult(paths, merged, met.deflated_from_returns(merged, variance, trials))
 
 
-def permutation_null(data: DataFrame, run, seed: int, permutations: int, done: DataFrame | None = None) -> list[tuple[int, float]]:
-    """(perm_id, dsr) of ``run`` on labels dealt anew within dates; ids in ``done`` are skipped."""
+def permutation_null(data: DataFrame, run, seed: int, permutations: int, done: DataFrame | None = None, path: str | None = None) -> list[tuple[int, float]]:
+    """(perm_id, dsr) of ``run`` on labels dealt anew within dates; ids in ``done`` are skipped.
+
+    With ``path`` each result is added to the table there as soon as it is known.
+    """
     skip = {r[0] for r in done.select("perm_id").collect()} if done is not None else set()
     out = []
     for perm in range(permutations):
         if perm not in skip:
             out.append((perm, run(met.permute_within_dates(data, seed, perm)).deflated.dsr))
+            if path is not None:
+                append_results(data.sparkSession.createDataFrame(out[-1:], "perm_id int, dsr double"), path)
     return out
 
 

@@ -68,3 +68,25 @@ def test_gate_of_the_new_features(bars, monkeypatch):
             pipe.all_new_gate(own, CFG, variance=0.1, trials=25, names=wrong)
     with pytest.raises(ValueError):
         pipe.all_new_dataset(own, 0)
+
+
+def test_null_resumes_after_a_failure(spark, tmp_path):
+    from types import SimpleNamespace
+
+    days = [(date(2024, 1, d), x, float(d * i)) for d in (1, 2) for i, x in enumerate("ABC")]
+    data = spark.createDataFrame(days, "timestamp date, symbol string, label double").selectExpr("cast(timestamp as timestamp) timestamp", "symbol", "label")
+    path, calls = str(tmp_path / "null"), []
+
+    def run(dealt, fail_at=None):
+        calls.append(sorted(r.label for r in dealt.collect()))
+        if len(calls) == fail_at:
+            raise RuntimeError("lost")
+        return SimpleNamespace(deflated=SimpleNamespace(dsr=len(calls) / 10))
+
+    with pytest.raises(RuntimeError):
+        pipe.permutation_null(data, lambda d: run(d, 3), 42, 4, path=path)
+    done = spark.createDataFrame(spark.read.parquet(path).collect(), "perm_id int, dsr double")
+    assert sorted(map(tuple, done.collect())) == [(0, 0.1), (1, 0.2)]
+    assert pipe.permutation_null(data, run, 42, 4, done, path) == [(2, 0.4), (3, 0.5)]
+    assert spark.read.parquet(path).count() == 4
+    assert all(c == [0.0, 0.0, 1.0, 2.0, 2.0, 4.0] for c in calls)
