@@ -26,9 +26,6 @@ from barline.llm.repeats import BLOCKS, UNSURE, _blocks, _read, _with_texts, tex
 
 U64 = np.uint64
 GOLD, START = U64(0x9E3779B97F4A7C15), U64(0xD1B54A32D192ED03)
-#: Places in which the members of a hot group meet what is said of the group.
-SALTS = 8
-
 
 def shingle_sets(buf: np.ndarray, offsets: np.ndarray, size: int = 2) -> tuple[np.ndarray, np.ndarray]:
     """Distinct shingle hashes of each text in order, and the bounds of the texts.
@@ -114,9 +111,10 @@ def sketch(docs: DataFrame, *, bands: int = 24, rows: int = 4, size: int = 2) ->
     return docs.select("__rk", "doc", "__text").mapInArrow(run, f"__rk long, doc {kind}, n_shingles long, set long, more long, bands array<long>")
 
 
-def _salt(member: str) -> Column:
-    """Place of a member of a hot group; what is said of the group is sent to the places in use only."""
-    return F.pmod(F.xxhash64(member), F.lit(SALTS))
+def _salt(member: str, places: int) -> Column:
+    """Place of a member of a group, one for each shuffle partition, so that a hot group spreads over all
+    tasks; what is said of the group is sent to the places in use, never more than it has members."""
+    return F.pmod(F.xxhash64(member), F.lit(places))
 
 
 def verify(pairs: DataFrame, texts: DataFrame, *, percent: int, size: int, group: int = 256) -> DataFrame:
@@ -124,10 +122,10 @@ def verify(pairs: DataFrame, texts: DataFrame, *, percent: int, size: int, group
     b has several partners).
 
     Pairs of one b are cut into groups of about ``group``; the texts travel to the groups.  The number of
-    cuts meets the pairs of a hot b in SALTS places.
+    cuts meets the pairs of a hot b in salted places.
     """
     n = partitions(pairs.sparkSession)
-    pairs = pairs.withColumn("salt", _salt("a"))
+    pairs = pairs.withColumn("salt", _salt("a", n))
     sizes = pairs.groupBy("b", "salt").agg(F.count("*").alias("n")).groupBy("b").agg(F.sum("n").alias("n"), F.collect_set("salt").alias("salts"))
     sizes = sizes.select("b", F.ceil(F.col("n") / group).alias("cuts"), (F.col("n") > 1).cast("long").alias("many"), F.explode("salts").alias("salt"))
     cut = pairs.join(sizes, ["b", "salt"]).select("a", "b", (F.pmod(F.xxhash64("a"), "cuts") * 2 + F.col("many")).alias("cut"))
@@ -211,10 +209,12 @@ def stragglers(checked: DataFrame, *, percent: int, block: int = 256) -> DataFra
     The difference of two sets is that of their differences to the pivot, so no text is read again.
     The unlinked members of a group are the queries, all members the rows; both are cut into blocks, and a block of queries
     meets a block of rows in one group of at most about 2 * ``block`` rows, which returns links only.
+    The sizes of a group meet its members in salted places.
     """
-    some = checked.where("diff is not null").select("b", "a", "linked", F.col("n_a").alias("n"), "diff")
-    sizes = some.groupBy("b").agg(F.ceil(F.count("*") / block).alias("rows"), F.ceil(F.count_if(~F.col("linked")) / block).alias("asks")).where("asks > 0")
-    some = materialise(some.join(sizes, "b"), "minhash-diffs")
+    some = checked.where("diff is not null").select("b", "a", "linked", F.col("n_a").alias("n"), "diff").withColumn("salt", _salt("a", partitions(checked.sparkSession)))
+    part = some.groupBy("b", "salt").agg(F.count("*").alias("rows"), F.count_if(~F.col("linked")).alias("asks"))
+    sizes = part.groupBy("b").agg(F.ceil(F.sum("rows") / block).alias("rows"), F.ceil(F.sum("asks") / block).alias("asks"), F.collect_set("salt").alias("salts")).where("asks > 0")
+    some = materialise(some.join(sizes.withColumn("salt", F.explode("salts")).drop("salts"), ["b", "salt"]).drop("salt"), "minhash-diffs")
     own = F.xxhash64("a", F.lit(3))
     asks = some.where("not linked").withColumns({"i": F.pmod(own, "asks"), "j": F.explode(F.sequence(F.lit(0).cast("long"), F.col("rows") - 1))})
     rows = some.withColumns({"j": F.pmod(own, "rows"), "i": F.explode(F.sequence(F.lit(0).cast("long"), F.col("asks") - 1))})
@@ -297,9 +297,9 @@ def groups(docs: DataFrame, *, key: str = "doc_id", text: str = "text", percent:
     checked = materialise(verify(star, texts, percent=percent, size=size), "minhash-checked")
     links = checked.where("linked").select("a", "b").unionByName(stragglers(checked, percent=percent))
     member = connected_components(links)
-    # only linked classes need a name; a hot group meets its name in SALTS places
+    # only linked classes need a name; a hot group meets its name in salted places
     linked = classes.select("set", "more", "rep", "least").join(member.withColumnRenamed("node", "rep"), "rep")
-    linked = linked.withColumn("salt", _salt("rep"))
+    linked = linked.withColumn("salt", _salt("rep", partitions(docs.sparkSession)))
     part = linked.groupBy("root", "salt").agg(F.min("least").alias("least"))
     name = part.groupBy("root").agg(F.min("least").alias("component"), F.collect_set("salt").alias("salts")).withColumn("salt", F.explode("salts")).drop("salts")
     placed = linked.join(name, ["root", "salt"]).select("set", "more", "root", "component")
