@@ -15,7 +15,7 @@ from barline.operators import labels as lab
 from barline.operators import metrics as met
 from barline.operators import models as mod
 from barline.operators import splits as spl
-from barline.sources.artifacts import append_results
+from barline.sources.artifacts import ArtifactStore, Metadata, append_results
 
 
 #: Symbols that the identity of a model can name; more are refused, none is left out.
@@ -42,15 +42,25 @@ def _scored(data: DataFrame, names: tuple[str, ...], cfg: Research) -> tuple[obj
     return model, mod.predict_scores(model, test, names), spl.summary(spl.with_role(data, cfg.train_end, cfg.test_start))
 
 
-def run_baseline(bars: DataFrame, cfg: Research, names: tuple[str, ...] = feat.PRODUCTION) -> BaselineResult:
-    """Features, forward returns, embargoed split, boosted trees, information coefficients."""
-    data = _dataset(bars, feat.production_matrix(bars), names, cfg.horizon)
-    model, scores, split = _scored(data, names, cfg)
+def run_baseline(bars: DataFrame, cfg: Research, names: tuple[str, ...] = feat.PRODUCTION, store: ArtifactStore | None = None, strategy: str = "baseline") -> BaselineResult:
+    """Features, forward returns, embargoed split, boosted trees, information coefficients.
+
+    With ``store`` the model is saved there under ``strategy`` and its hash, beside it a sidecar of the
+    metrics and the split; a hash that the store holds already is an error, before anything is fitted.
+    """
     symbols = [r[0] for r in bars.select("symbol").distinct().orderBy("symbol").limit(MAX_SYMBOLS + 1).collect()]
     if len(symbols) > MAX_SYMBOLS:
         raise ValueError(f"the identity of a model names its symbols: at most {MAX_SYMBOLS}")
     digest = mod.identity_hash(names, mod.parameters(cfg), symbols, cfg.train_end, cfg.test_start, "1d", cfg.seed)
+    if store is not None:
+        store.refuse(strategy, digest)
+    data = _dataset(bars, feat.production_matrix(bars), names, cfg.horizon)
+    model, scores, split = _scored(data, names, cfg)
     summary = met.ic_summary(met.ic_by_date(scores), min_breadth=cfg.min_breadth, threshold=cfg.ic_threshold)
+    if store is not None:
+        store.save(model, Metadata(strategy, tuple(names), mod.parameters(cfg), tuple(symbols), cfg.train_end.isoformat(), cfg.test_start.isoformat(), "1d", cfg.seed, digest))
+        # one row of metrics, two of the split
+        store.write_sidecar(digest, {"horizon": cfg.horizon, "embargo": cfg.embargo, "metrics": summary.first().asDict(), "split": [r.asDict() for r in split.collect()]})
     return BaselineResult(summary, scores, split, model, digest)
 
 

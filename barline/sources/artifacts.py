@@ -51,18 +51,23 @@ class ArtifactStore:
 
     def _write(self, path: str, body: dict) -> None:
         out = self._fs.create(self._path(path), False)
-        out.write(bytearray(json.dumps(body, sort_keys=True).encode()))
+        out.write(bytearray(json.dumps(body, sort_keys=True, default=str).encode()))
         out.close()
 
     def _read(self, path: str) -> dict:
         lines = self.spark.read.text(path, wholetext=True).collect()
         return json.loads(lines[0][0])
 
-    def save(self, model, meta: Metadata) -> str:
-        """Write beside the target, then rename; leftovers of a failed write are removed."""
-        target = f"{self.root}/{meta.strategy_id}/{meta.model_hash}"
+    def refuse(self, strategy_id: str, model_hash: str) -> str:
+        """The folder of a model, which must not exist yet."""
+        target = f"{self.root}/{strategy_id}/{model_hash}"
         if self._exists(target):
             raise FileExistsError(target)
+        return target
+
+    def save(self, model, meta: Metadata) -> str:
+        """Write beside the target, then rename; leftovers of a failed write are removed."""
+        target = self.refuse(meta.strategy_id, meta.model_hash)
         draft = f"{self.root}/.draft-{uuid.uuid4().hex}"
         try:
             model.write().save(f"{draft}/model")

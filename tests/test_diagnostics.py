@@ -90,3 +90,30 @@ def test_null_resumes_after_a_failure(spark, tmp_path):
     assert pipe.permutation_null(data, run, 42, 4, done, path) == [(2, 0.4), (3, 0.5)]
     assert spark.read.parquet(path).count() == 4
     assert all(c == [0.0, 0.0, 1.0, 2.0, 2.0, 4.0] for c in calls)
+
+
+def test_baseline_saves_its_model(spark, bars, monkeypatch, tmp_path):
+    from pyspark.ml.feature import SQLTransformer
+
+    from barline.sources.artifacts import ArtifactStore
+
+    fitted = []
+
+    def scored(data, names, cfg):
+        fitted.append(names)
+        split = spark.createDataFrame([("train", 3), ("test", 2)], "role string, n long")
+        scores = spark.createDataFrame([(date(2024, 3, 11), "AAA", 0.1, 0.2), (date(2024, 3, 11), "BBB", 0.2, 0.3)], "timestamp date, symbol string, score double, fwd double")
+        return SQLTransformer(statement="SELECT 1 FROM __THIS__"), scores, split
+
+    monkeypatch.setattr(pipe, "_scored", scored)
+    store = ArtifactStore(spark, str(tmp_path))
+    cfg = replace(CFG, min_breadth=2)
+    found = pipe.run_baseline(bars([1.0, 2.0]), cfg, store=store)
+    meta = store.metadata(found.model_hash, feat.PRODUCTION)
+    assert (meta.universe, meta.seed) == (("AAA",), cfg.seed)
+    body = store.read_sidecar(found.model_hash)
+    assert body["split"] == [{"role": "train", "n": 3}, {"role": "test", "n": 2}]
+    assert body["metrics"] == found.metrics.first().asDict()
+    with pytest.raises(FileExistsError):
+        pipe.run_baseline(bars([1.0, 2.0]), cfg, store=store)
+    assert len(fitted) == 1
