@@ -20,7 +20,7 @@ from barline.functions.windows import cum
 
 @dataclass(frozen=True)
 class Ewm:
-    """One output column.  NULLs of ``source`` are allowed at the start of a symbol only."""
+    """One output column.  NULLs of ``source`` are allowed at the start of a symbol only; after a NaN all is NaN."""
 
     name: str
     source: str
@@ -61,7 +61,9 @@ def with_ewm(df: DataFrame, specs: list[Ewm]) -> DataFrame:
     index = {s.source: f"__k_{s.source}" for s in specs}
     # NULLs stand at the start only: the bar's number differs from the observation's by a constant
     counts = {k: F.when(F.col(c).isNotNull(), F.count(c).over(cum()) - 1) for c, k in index.items()}
-    df = df.withColumns({**counts, "__row": F.count(F.lit(1)).over(cum()) - 1})
+    # a NaN stays for ever, in the blocks it would be gone after two
+    spoilt = {f"__nan_{c}": F.max(F.isnan(c)).over(cum()) for c in index}
+    df = df.withColumns({**counts, **spoilt, "__row": F.count(F.lit(1)).over(cum()) - 1})
     terms, sums, out = {}, {}, {}
     for g, group in enumerate(_shared(specs)):
         n, block = _block(group), f"__b{g}"
@@ -84,5 +86,5 @@ def with_ewm(df: DataFrame, specs: list[Ewm]) -> DataFrame:
                 # the denominator is 0 at the first observation only
                 value = F.sqrt(F.try_divide(F.greatest(F.col(f"__m_{s.name}_2") - mean * mean, F.lit(0.0)), 1.0 - squares))
                 value = F.when(k > 0, value)
-            out[s.name] = F.when(k >= s.min_periods - 1, value)
+            out[s.name] = F.when(k >= s.min_periods - 1, F.when(F.col(f"__nan_{s.source}"), float("nan")).otherwise(value))
     return df.withColumns(terms).withColumns(sums).withColumns(out).select(*keep, *[s.name for s in specs])

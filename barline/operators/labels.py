@@ -115,8 +115,10 @@ def check_events(bars: DataFrame, events: DataFrame, span: int = 20, side: str |
 
 def meta_events(bars: DataFrame, *, span: int = 20, pt: float = 1.0, sl: float = 1.0, vertical: int = 10, trend: int = 10) -> DataFrame:
     """(timestamp, symbol, side, label, t1, ret) of every bar with a trend side and a full path, on
-    adjusted prices."""
-    df = daily_volatility(adjusted_ohlc(bars).withColumn("side", ind.trend_side(trend)), span)
+    adjusted prices; a price that is not finite is a missing one."""
+    adjusted = adjusted_ohlc(bars)
+    finite = {c: F.when(F.abs(c) < float("inf"), F.col(c)) for c in ("open", "high", "low", "close")}
+    df = daily_volatility(adjusted.withColumns(finite).withColumn("side", ind.trend_side(trend)), span)
     df = barriers(df, pt=pt, sl=sl, vertical=vertical, side="side", full=True)
     return df.select("timestamp", "symbol", "side", "label", "t1", "ret")
 
