@@ -8,14 +8,29 @@ from __future__ import annotations
 
 import hashlib
 import json
+from collections.abc import Callable, Iterable
 from datetime import date
+from multiprocessing.pool import ThreadPool
+from typing import TypeVar
 
-from pyspark.sql import DataFrame
+from pyspark import inheritable_thread_target
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barline.config import Research
 
 
+#: Fits that run at once.  A boosting round is a chain of short jobs that wait for the driver, not for cores.
+AT_ONCE = 8
+T = TypeVar("T")
+
+
+def at_once(spark: SparkSession, calls: Iterable[Callable[[], T]]) -> list[T]:
+    """What each of the independent ``calls`` gives, in order; up to ``AT_ONCE`` of them run at a time."""
+    with ThreadPool(AT_ONCE) as pool:
+        return pool.map(inheritable_thread_target(spark)(lambda call: call()), list(calls), chunksize=1)
+
+
 def assemble(features: DataFrame, labels: DataFrame, names: tuple[str, ...]) -> DataFrame:
     """Inner join on (timestamp, symbol) without incomplete rows."""
     missing = [c for c in names if c not in features.columns]

@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass, replace
 from datetime import date, timedelta
+from functools import partial, reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -71,12 +72,13 @@ def _fold_parts(data: DataFrame, roles: DataFrame, fold: int) -> tuple[DataFrame
 
 
 def _paths(data: DataFrame, roles: DataFrame, n_folds: int, one) -> DataFrame:
-    """Union of the path returns of all folds; the number of folds is fixed by the parameters."""
-    out = None
-    for fold in range(n_folds):
-        path = one(*_fold_parts(data, roles, fold)).withColumn("fold_id", F.lit(fold))
-        out = path if out is None else out.unionByName(path)
-    return out
+    """Union of the path returns of all folds, which are fitted side by side; the number of folds is fixed
+    by the parameters."""
+
+    def path(fold: int) -> DataFrame:
+        return one(*_fold_parts(data, roles, fold)).withColumn("fold_id", F.lit(fold))
+
+    return reduce(DataFrame.unionByName, mod.at_once(data.sparkSession, [partial(path, fold) for fold in range(n_folds)]))
 
 
 @dataclass(frozen=True)
