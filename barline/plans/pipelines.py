@@ -165,19 +165,23 @@ def permutation_null(data: DataFrame, run, seed: int, permutations: int, done: D
 
 
 def triage(bars: DataFrame, cfg: Research, horizons: tuple[int, ...] = (2, 21), arms: dict[str, tuple[str, ...]] | None = None) -> DataFrame:
-    """One row for each arm and horizon: coefficients, breadth and the Grinold proxy."""
-    matrix = feat.combined_matrix(bars).cache()
-    out = None
-    for order, (arm, names) in enumerate((arms or feat.ARMS).items()):
-        for h in horizons:
-            data = _dataset(bars, matrix, names, h)
-            own = replace(cfg, horizon=h, embargo=max(h, cfg.embargo), test_start=settle_start(cfg, h, bars, data))
-            _, scores, _ = _scored(data, names, own)
-            row = met.ic_summary(met.ic_by_date(scores), min_breadth=own.min_breadth, threshold=own.ic_threshold)
-            row = row.select(F.lit(arm).alias("arm"), F.lit(order).alias("arm_order"), F.lit(h).alias("horizon"), "*")
-            row = row.withColumn("grinold", met.grinold(F.col("rank_ic_mean"), F.col("median_breadth")))
-            out = row if out is None else out.unionByName(row)
-    return out
+    """One row for each arm and horizon: coefficients, breadth and the Grinold proxy.  The models are fitted
+    side by side."""
+    # read by the features, the labels and the starts of every arm and horizon
+    bars = bars.persist()
+    matrix = feat.combined_matrix(bars).persist()
+    matrix.count()  # once, before all ask for it
+
+    def row(order: int, arm: str, names: tuple[str, ...], h: int) -> DataFrame:
+        data = _dataset(bars, matrix, names, h)
+        own = replace(cfg, horizon=h, embargo=max(h, cfg.embargo), test_start=settle_start(cfg, h, bars, data))
+        _, scores, _ = _scored(data, names, own)
+        found = met.ic_summary(met.ic_by_date(scores), min_breadth=own.min_breadth, threshold=own.ic_threshold)
+        found = found.select(F.lit(arm).alias("arm"), F.lit(order).alias("arm_order"), F.lit(h).alias("horizon"), "*")
+        return found.withColumn("grinold", met.grinold(F.col("rank_ic_mean"), F.col("median_breadth")))
+
+    calls = [partial(row, order, arm, names, h) for order, (arm, names) in enumerate((arms or feat.ARMS).items()) for h in horizons]
+    return reduce(DataFrame.unionByName, mod.at_once(bars.sparkSession, calls))
 
 
 def settle_start(cfg: Research, horizon: int, *frames: DataFrame) -> date:
