@@ -119,6 +119,31 @@ def idf_of(df: np.ndarray, n_docs: int) -> np.ndarray:
     return np.log((1.0 + n_docs) / (1.0 + df)) + 1.0
 
 
+class Ftrl:
+    """Follow-the-regularised-leader on one row after another; tables of fixed size."""
+
+    def __init__(self, k: int, idf: np.ndarray, *, alpha: float = 0.5, beta: float = 1.0, l1: float = 0.002, l2: float = 0.01):
+        self.z, self.n, self.idf = np.zeros((SIZE, k)), np.zeros((SIZE, k)), idf
+        self.alpha, self.beta, self.l1, self.l2 = alpha, beta, l1, l2
+
+    def weights(self, rows=slice(None)) -> np.ndarray:
+        zi, ni = self.z[rows], self.n[rows]
+        return np.where(np.abs(zi) <= self.l1, 0.0, -(zi - np.sign(zi) * self.l1) / ((self.beta + np.sqrt(ni)) / self.alpha + self.l2))
+
+    def step(self, nz: np.ndarray, tf: np.ndarray, y: int) -> None:
+        """One row: its buckets, their shares of its n-grams, the number of its language."""
+        x = tf * self.idf[nz] * SCALE
+        wi = self.weights(nz)
+        s = x @ wi
+        p = np.exp(s - s.max())
+        p /= p.sum()
+        p[y] -= 1.0
+        g = x[:, None] * p[None, :]
+        sigma = (np.sqrt(self.n[nz] + g * g) - np.sqrt(self.n[nz])) / self.alpha
+        self.z[nz] += g - sigma * wi
+        self.n[nz] += g * g
+
+
 def train(texts: list[str], langs: list[str], idf: np.ndarray | None = None, *, epochs: int = 4, alpha: float = 0.5, beta: float = 1.0, l1: float = 0.002, l2: float = 0.01, seed: int = 7) -> LanguageModel:
     """Fit on rows in memory; one row in five sets the temperature."""
     names = sorted(set(langs))
@@ -133,26 +158,12 @@ def train(texts: list[str], langs: list[str], idf: np.ndarray | None = None, *,
     rng = np.random.default_rng(seed)
     held = np.zeros(len(y), dtype=bool)
     held[rng.permutation(len(y))[: len(y) // 5]] = True
-    z, n, w = np.zeros((SIZE, k)), np.zeros((SIZE, k)), np.zeros((SIZE, k))
-
-    def weights(zi: np.ndarray, ni: np.ndarray) -> np.ndarray:
-        return np.where(np.abs(zi) <= l1, 0.0, -(zi - np.sign(zi) * l1) / ((beta + np.sqrt(ni)) / alpha + l2))
-
+    learner = Ftrl(k, idf, alpha=alpha, beta=beta, l1=l1, l2=l2)
     fit = np.flatnonzero(~held)
     for _ in range(epochs):
         for i in rng.permutation(fit):
-            nz, tf = feats[i]
-            x = tf * idf[nz] * SCALE
-            wi = weights(z[nz], n[nz])
-            s = x @ wi
-            p = np.exp(s - s.max())
-            p /= p.sum()
-            p[y[i]] -= 1.0
-            g = x[:, None] * p[None, :]
-            sigma = (np.sqrt(n[nz] + g * g) - np.sqrt(n[nz])) / alpha
-            z[nz] += g - sigma * wi
-            n[nz] += g * g
-    w = weights(z, n)
+            learner.step(*feats[i], y[i])
+    w = learner.weights()
     model = LanguageModel(names, idf, w, 1.0)
     cal = np.flatnonzero(held) if held.any() else np.arange(len(y))
     s = np.stack([(feats[i][1] * idf[feats[i][0]] * SCALE) @ w[feats[i][0]] for i in cal]) if len(cal) else np.zeros((0, k))
