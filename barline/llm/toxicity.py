@@ -257,7 +257,8 @@ def _blocks(batches):
 
 
 def _sum_of_shards(rows: DataFrame, n_shards: int, start, names: list[str], idf, epochs: int, weight: tuple[float, float], rate: float) -> Shares:
-    """Every shard of ``rows`` (text, label, lang, key) is learned from ``start`` on, in the order of its keys."""
+    """Each of up to ``n_shards`` shards of ``rows`` (text, label, lang, key) is learned from ``start`` on, in the
+    order of its keys."""
     shared = rows.sparkSession.sparkContext.broadcast((start, idf))  # a fixed size
 
     def learn(batches):
@@ -280,8 +281,9 @@ def _sum_of_shards(rows: DataFrame, n_shards: int, start, names: list[str], idf,
         if total:
             yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(total)], pa.binary())], names=["learned"])
 
-    dealt = rows.repartition(n_shards, F.pmod(F.col("key"), F.lit(n_shards))).sortWithinPartitions("key")
-    learned = dealt.select("text", "label", "lang").mapInArrow(learn, "learned binary")
+    # the rows lie by hashes of ids in their files already: only a single shard, of bounded size, is gathered
+    dealt = rows.repartition(1) if n_shards == 1 else rows.coalesce(n_shards)
+    learned = dealt.sortWithinPartitions("key").select("text", "label", "lang").mapInArrow(learn, "learned binary")
     got = learned.repartition(1).mapInArrow(add, "learned binary").collect()  # one row of a fixed size
     shared.unpersist()
     return pickle.loads(got[0][0])
@@ -303,8 +305,7 @@ def train(rows: DataFrame, sizes: dict[int, int], names: list[str], idf, start:
     model, words = first.mean(start)
     if groups == 1:
         return model, words
-    others = rows.where(~own).withColumn("key", F.xxhash64("key"))
-    more = _sum_of_shards(others, min(groups - 1, MAX_SHARDS), model, names, idf, 1, weight, 0.003)
+    more = _sum_of_shards(rows.where(~own), min(groups - 1, MAX_SHARDS), model, names, idf, 1, weight, 0.003)
     both, other_words = more.mean(model)
     return both, (words * first.rows + other_words * more.rows) / (first.rows + more.rows)
 
@@ -409,7 +410,8 @@ def op4_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     learned = ~langid.held_out("doc_id", 5, 0)
     usable = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & learned)
     usable = usable.groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
-    rows = docs.where(learned & F.col("text").isNotNull()).select("doc_id", "text", "lang").join(usable, "doc_id")
+    # a join by shuffle at any size: it leaves the rows by hashes of ids
+    rows = docs.where(learned & F.col("text").isNotNull()).select("doc_id", "text", "lang").join(usable.hint("merge"), "doc_id")
     model = fit(rows.select("text", "toxic", "lang", "doc_id"))
     out = F.coalesce(langid.held_out("doc_id", 5, 0), F.lit(True))
     scored = score(docs, model, keep=["doc_id"])
